@@ -108,7 +108,7 @@ def schema_clean(spark, d):
     return rounded(cleaning.schema_clean(raw(spark, d)).select("material_id", *CLEAN), 8)
 
 
-@check("coerce_numeric", "SELECT 'bandgap' AS field, count(*) FILTER (WHERE bandgap IS NOT NULL AND try_cast(bandgap AS DOUBLE) IS NULL) AS coerced FROM alloy_raw UNION ALL SELECT 'mass_density', 0 FROM alloy_raw GROUP BY ALL")
+@check("coerce_numeric", "SELECT 'bandgap' AS field, count(*) FILTER (WHERE bandgap IS NOT NULL AND try_cast(bandgap AS DOUBLE) IS NULL) AS coerced FROM alloy_raw UNION ALL SELECT 'mass_density', count(*) FILTER (WHERE false) FROM alloy_raw")
 def coerce_numeric(spark, d):
     return cleaning.coercion_counts(aliased(spark, d), ["bandgap", "mass_density"])
 

@@ -188,7 +188,7 @@ CTES: dict[str, str] = {
       FROM (SELECT *, CASE WHEN len(hazards) = 0 AND ensemble_probability >= 0.8 AND thermodynamic_stability_category = 'highly_stable' AND in_distribution = 'in-dist' THEN 'safe'
         WHEN ensemble_probability >= 0.8 THEN 'human_review' ELSE 'unsafe' END AS safety_class FROM route_gated)))""",
     "route_cost": """SELECT *, value * success AS expected_value, CASE WHEN success > 0 THEN total_cost / success END AS expected_cost
-      FROM (SELECT *, CASE method WHEN 'arc_melting' THEN 508.0 WHEN 'solid_state' THEN 1148.0 ELSE 3372.0 END AS total_cost,
+      FROM (SELECT *, CAST(CASE method WHEN 'arc_melting' THEN 508 WHEN 'solid_state' THEN 1148 ELSE 3372 END AS DOUBLE) AS total_cost,
         CASE method WHEN 'arc_melting' THEN least(CAST(0.9 AS DOUBLE), s * q * CAST(1.2 AS DOUBLE)) WHEN 'solid_state' THEN least(CAST(0.8 AS DOUBLE), s * q * CAST(1.1 AS DOUBLE)) ELSE least(CAST(0.6 AS DOUBLE), s * q) END AS success,
         CAST(CASE WHEN band_gap > 1.5 THEN 10000 ELSE 5000 END AS DOUBLE) * s * q AS value
       FROM (SELECT *, CASE WHEN band_gap < 2 THEN 'arc_melting' WHEN s > 0.7 THEN 'solid_state' ELSE 'cvd' END AS method

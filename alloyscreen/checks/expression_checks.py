@@ -178,7 +178,7 @@ def live_gate(spark, d):
 
 GATE_SQL = """SELECT material_id, {passed} AS safety_check_passed, CASE WHEN {passed} THEN 'Safe for export' ELSE concat_ws('; ', {reasons}) END AS safety_reason, concat_ws('; ', {warnings}) AS safety_warnings FROM gated"""
 HAZARD = "CASE WHEN len(hazards) > 0 THEN concat('{}', array_to_string(hazards, ', ')) END"
-LOW = "CASE WHEN ensemble_probability < {0} THEN concat('Ensemble probability too low: ', format('{{:.3f}}', ensemble_probability), ' < {0}') END"
+LOW = "CASE WHEN ensemble_probability < {0} THEN concat('Ensemble probability too low: ', CAST(round(CAST(ensemble_probability AS DECIMAL(18, 9)), 3) AS VARCHAR), ' < {0}') END"
 STRICT = GATE_SQL.format(
     passed="(len(hazards) = 0 AND ensemble_probability >= 0.8 AND thermodynamic_stability_category = 'highly_stable' AND in_distribution = 'in-dist')",
     reasons=", ".join([
@@ -282,11 +282,14 @@ def cost_benefit(spark, d):
     return out.withColumns({"success_probability": F.round("success_probability", 8), **{c: F.round(c, 5) for c in COST}})
 
 
-@check("cost_benefit_simple", f"SELECT material_id, method AS simple_method, {r('success', 'simple_success_probability', 8)}, CAST(total_cost AS DOUBLE) AS simple_total_cost, {r('expected_cost', 'simple_expected_cost', 4)}, {r('expected_value', 'simple_expected_value', 5)}, {r('expected_value - expected_cost', 'simple_net_benefit', 4)} FROM simple_costed")
+@check("cost_benefit_simple", "SELECT material_id, method AS simple_method, success AS simple_success_probability, CAST(total_cost AS DOUBLE) AS simple_total_cost, "
+       "expected_cost AS simple_expected_cost, expected_value AS simple_expected_value, expected_value - expected_cost AS simple_net_benefit FROM simple_costed")
 def cost_benefit_simple(spark, d):
-    out = methods.with_simple_cost_benefit(raw(spark, d))
-    digits = {"simple_success_probability": 8, "simple_expected_cost": 4, "simple_expected_value": 5, "simple_net_benefit": 4}
-    return out.select("material_id", "simple_method", "simple_total_cost", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    """Unrounded: both engines compute the same products in the same order."""
+    return methods.with_simple_cost_benefit(raw(spark, d)).select(
+        "material_id", "simple_method", "simple_total_cost", "simple_success_probability", "simple_expected_cost",
+        "simple_expected_value", "simple_net_benefit",
+    )
 
 
 MIX = ["melting_point", "boiling_point", "density", "electronegativity", "atomic_radius"]

@@ -32,7 +32,7 @@ def csv_scan(spark, d):
 def outcomes_scan(spark, d):
     path = run_folder(spark, "outcomes_scan")
     outcomes(spark, d).select("formula", "attempted_date", "outcome", "ml_pred", "llm_pred").write.parquet(path)
-    return scans.read_outcomes(spark, path)
+    return scans.read_outcomes(spark, path).withColumn("attempted_date", F.col("attempted_date").cast("timestamp_ntz"))
 
 
 @check("filtered_scan", """SELECT material_id, formula, array_to_string(elements, ',') AS elements, nsites, density, band_gap, energy_above_hull, formation_energy_per_atom
@@ -180,7 +180,7 @@ def outcome_append(spark, d):
     log = outcomes(spark, d)
     sinks.append_outcomes(log.filter("outcome = 'Successful'"), path)
     sinks.append_outcomes(log.filter("outcome <> 'Successful'"), path)
-    return scans.read_outcomes(spark, path)
+    return scans.read_outcomes(spark, path).withColumn("attempted_date", F.col("attempted_date").cast("timestamp_ntz"))
 
 
 @check("plain_csv", "SELECT material_id, formula, energy_above_hull, density FROM full_materials")

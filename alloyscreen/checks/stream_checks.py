@@ -18,6 +18,11 @@ def _arriving(spark, d, name):
     return streams.read_stream(spark, d, shape, f"{name}.parquet")
 
 
+def _arriving_outcomes(spark, d):
+    sent = tables.as_outcomes(_arriving(spark, d, "events"))
+    return sent.withColumn("attempted_date", F.col("attempted_date").cast("timestamp"))
+
+
 @check("outcome_stream", f"""SELECT count(*) AS total_experiments, {r("count(*) FILTER (WHERE outcome = 'Successful') / count(*)", 'success_rate')}, {r('count(*) FILTER (WHERE p AND a) / count(*) FILTER (WHERE p)', 'precision')},
     {r('count(*) FILTER (WHERE p AND a) / count(*) FILTER (WHERE a)', 'recall')},
     (SELECT {r('avg(abs(x - y))', 'v', 8)} FROM (SELECT avg(e) AS x, avg(CAST(a AS INT)) AS y FROM {STREAM_FLAGS} WHERE e > 0 AND e <= 1 GROUP BY ceil(e * 10 - 1e-9))) AS calibration_error,
@@ -25,7 +30,7 @@ def _arriving(spark, d, name):
 def outcome_stream(spark, d):
     """Every outcome is sent twice; the stream stores it once, and the metrics follow from the stored log."""
     root = run_folder(spark, "outcome_stream")
-    sent = tables.as_outcomes(_arriving(spark, d, "events")).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    sent = _arriving_outcomes(spark, d).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     streams.append_to(streams.distinct_outcomes(sent), f"{root}/log", f"{root}/progress").awaitTermination()
     out = rounded(streams.refresh_metrics(spark.read.parquet(f"{root}/log")))
     return out.withColumn("calibration_error", F.round("calibration_error", 8))
@@ -36,8 +41,8 @@ def outcome_stream(spark, d):
 def outcome_counters(spark, d):
     """Counters of the days that the watermark has closed."""
     root = run_folder(spark, "outcome_counters")
-    streams.append_to(streams.daily_counters(tables.as_outcomes(_arriving(spark, d, "events"))), f"{root}/days", f"{root}/progress").awaitTermination()
-    return spark.read.parquet(f"{root}/days").select("day", *metrics.COUNTERS)
+    streams.append_to(streams.daily_counters(_arriving_outcomes(spark, d)), f"{root}/days", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/days").select(F.col("day").cast("timestamp_ntz").alias("day"), *metrics.COUNTERS)
 
 
 @check("candidate_stream", f"SELECT material_id, {r('ensemble_probability', 'ensemble_probability')}, {r('thermodynamic_stability_score', 'thermodynamic_stability_score')}, rule_score, safety_class FROM classed")

@@ -32,3 +32,8 @@ def points(condition: Column, value: float) -> Column:
 def texts(*parts: Column) -> Column:
     """The non-null parts as an array."""
     return F.array_compact(F.array(*parts))
+
+
+def fixed_text(c: Column, digits: int) -> Column:
+    """``c`` with a fixed number of decimals, halves rounded up; float noise beyond nine places is removed first."""
+    return F.format_string(f"%.{digits}f", F.round(c.cast("double"), 9))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, column_or, texts
+from alloyscreen.functions.basics import clip, column_or, fixed_text, texts
 
 SLOTS = (1, 2, 3)
 FRACTION_MIN, FRACTION_MAX = 0.05, 0.95
@@ -69,7 +69,7 @@ def with_weight_percent(df: DataFrame) -> DataFrame:
 def with_composition_text(df: DataFrame) -> DataFrame:
     """``wt%`` and ``feedstock_g_per_100g`` texts from the weight percents."""
     have = df if "weight_percent_1" in df.columns else with_weight_percent(df)
-    share = {i: F.format_string("%.1f", F.col(f"weight_percent_{i}")) for i in SLOTS}
+    share = {i: fixed_text(F.col(f"weight_percent_{i}"), 1) for i in SLOTS}
     used = {i: F.col(f"weight_percent_{i}").isNotNull() for i in SLOTS}
     percent = texts(
         *[F.when(used[i], F.concat(column_or(df, f"element_{i}", None), F.lit(": "), share[i], F.lit("%"))) for i in SLOTS]
@@ -90,7 +90,7 @@ def atomic_percent_text(df: DataFrame) -> Column:
             F.concat(
                 slot_element(df, i),
                 F.lit(": "),
-                F.format_string("%.1f", column_or(df, f"composition_{i}", 0.0).cast("double") * 100),
+                fixed_text(column_or(df, f"composition_{i}", 0.0).cast("double") * 100, 1),
                 F.lit("%"),
             ),
         )
@@ -101,7 +101,7 @@ def atomic_percent_text(df: DataFrame) -> Column:
 
 def formula_text(elements: Column, fractions: Column) -> Column:
     """``Al0.500Ti0.500``; ``Invalid`` when the arrays differ in length."""
-    parts = F.zip_with(elements, fractions, lambda e, x: F.concat(e, F.format_string("%.3f", x.cast("double"))))
+    parts = F.zip_with(elements, fractions, lambda e, x: F.concat(e, fixed_text(x, 3)))
     return F.when(F.size(elements) == F.size(fractions), F.array_join(parts, "")).otherwise(F.lit("Invalid"))
 
 

@@ -12,6 +12,14 @@ from alloyscreen.functions.stability import linear_stability, stability_score
 METHOD_FIELDS = [f.split()[0] for f in refdata.METHOD_DDL.split(", ")]
 
 
+# Rates and market values of the cost-benefit model.
+LABOR_RATE = 50.0
+SYNTHESIS_RATE_FACTOR, COOLING_RATE_FACTOR = 1.5, 0.5
+EQUIPMENT_SHARE, MATERIAL_SHARE = 0.1, 0.3
+SUCCESS_BONUS, SUCCESS_MIN, SUCCESS_MAX = 1.1, 0.1, 0.95
+VALUE_WIDE_GAP, VALUE_SEMICONDUCTOR, VALUE_CONDUCTOR, VALUE_OTHER = 50000.0, 30000.0, 20000.0, 15000.0
+
+
 def available_methods(equipment: list[str] | None) -> list[tuple[int, dict]]:
     """(order, method) for the methods whose equipment is at hand. ``None`` means that everything is."""
     chosen = []
@@ -26,9 +34,8 @@ def equipment_ok(needed: Column, available: Column) -> Column:
     return F.size(F.array_except(needed, available)) == 0
 
 
-def suitability(df: DataFrame) -> dict[str, Column]:
+def suitability(df: DataFrame, stability: Column) -> dict[str, Column]:
     """Points per method before success rate and cost are taken into account."""
-    s = stability_score(df)
     q = column_or(df, "ensemble_probability", 0.5)
     gap = column_or(df, "band_gap", 1.0)
     density = column_or(df, "density", 7.0)
@@ -36,47 +43,64 @@ def suitability(df: DataFrame) -> dict[str, Column]:
     return {
         "arc_melting": points(metallic, 3.0) + points(density > 6.0, 1.0),
         "induction_melting": points(metallic, 2.5),
-        "resistance_furnace": points(s > 0.6, 2.0) + points(gap > 1.5, 1.5),
-        "vacuum_arc_melting": points(metallic, 2.5) + points(s < 0.7, 1.0),
+        "resistance_furnace": points(stability > 0.6, 2.0) + points(gap > 1.5, 1.5),
+        "vacuum_arc_melting": points(metallic, 2.5) + points(stability < 0.7, 1.0),
         "plasma_arc_melting": F.lit(0.0),
-        "solid_state_reaction": points(s > 0.7, 3.0) + points(q > 0.7, 1.5) + 1.0,
-        "chemical_vapor_deposition": points(s < 0.6, 2.0) + points(gap > 1.0, 1.5),
-        "mechanical_alloying": points(s < 0.6, 2.5) + points(metallic, 1.0),
+        "solid_state_reaction": points(stability > 0.7, 3.0) + points(q > 0.7, 1.5) + 1.0,
+        "chemical_vapor_deposition": points(stability < 0.6, 2.0) + points(gap > 1.0, 1.5),
+        "mechanical_alloying": points(stability < 0.6, 2.5) + points(metallic, 1.0),
     }
 
 
+def _total_cost(m: dict) -> float:
+    hours = (
+        m["prep_time_hours"]
+        + m["synthesis_time_hours"] * SYNTHESIS_RATE_FACTOR
+        + m["cooling_time_hours"] * COOLING_RATE_FACTOR
+    )
+    return hours * LABOR_RATE + m["estimated_cost_usd"] * (EQUIPMENT_SHARE + MATERIAL_SHARE)
+
+
 def _ranked(df: DataFrame, equipment: list[str] | None) -> list[Column]:
-    base = suitability(df)
+    """Score, tie order and attributes of each available method. Needs the column ``_stability``."""
+    base = suitability(df, F.col("_stability"))
     return [
         F.struct(
             (base[m["method_key"]] * m["success_probability"] / (m["estimated_cost_usd"] / 100)).alias("score"),
             F.lit(-order).alias("tie_order"),
             F.lit(m["method_key"]).alias("method_key"),
+            F.lit(m["method_name"]).alias("method_name"),
+            F.lit(m["success_probability"]).alias("success"),
+            F.lit(_total_cost(m)).alias("cost"),
         )
         for order, m in available_methods(equipment)
     ]
 
 
+BEST_TYPE = (
+    "struct<score: double, tie_order: int, method_key: string, method_name: string, success: double, cost: double>"
+)
+
+
 def method_scores(df: DataFrame, equipment: list[str] | None = None, keep=("material_id",)) -> DataFrame:
     """One row per material and available method."""
     ranked = _ranked(df, equipment)
-    if not ranked:
-        empty = df.select(*keep, F.lit(None).cast("string").alias("method_key"), F.lit(None).cast("double").alias("method_score"))
-        return empty.limit(0)
-    return df.select(*keep, F.inline(F.array(*ranked))).select(
-        *keep, "method_key", F.col("score").alias("method_score")
-    )
+    scores = F.array(*ranked) if ranked else F.array().cast(f"array<{BEST_TYPE}>")
+    scored = df.withColumn("_stability", stability_score(df))
+    return scored.select(*keep, F.inline(scores)).select(*keep, "method_key", F.col("score").alias("method_score"))
+
+
+def _with_best(df: DataFrame, equipment: list[str] | None) -> DataFrame:
+    ranked = _ranked(df, equipment)
+    best = F.array_max(F.array(*ranked)) if ranked else F.lit(None).cast(BEST_TYPE)
+    return df.withColumn("_stability", stability_score(df)).withColumn("_best", best).drop("_stability")
 
 
 def with_best_method(df: DataFrame, equipment: list[str] | None = None) -> DataFrame:
     """Key and score of the best available method; earlier methods win ties; null when none is available."""
-    ranked = _ranked(df, equipment)
-    if not ranked:
-        return df.withColumns(
-            {"method_key": F.lit(None).cast("string"), "method_score": F.lit(None).cast("double")}
-        )
-    out = df.withColumn("_best", F.array_max(F.array(*ranked)))
-    return out.withColumns({"method_key": F.col("_best.method_key"), "method_score": F.col("_best.score")}).drop("_best")
+    return _with_best(df, equipment).withColumns(
+        {"method_key": F.col("_best.method_key"), "method_score": F.col("_best.score")}
+    ).drop("_best")
 
 
 def with_method_details(df: DataFrame) -> DataFrame:
@@ -100,66 +124,37 @@ def with_method_details(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(detail), "method_key", "left")
 
 
-# Rates and market values of the cost-benefit model.
-LABOR_RATE = 50.0
-SYNTHESIS_RATE_FACTOR, COOLING_RATE_FACTOR = 1.5, 0.5
-EQUIPMENT_SHARE, MATERIAL_SHARE = 0.1, 0.3
-SUCCESS_BONUS, SUCCESS_MIN, SUCCESS_MAX = 1.1, 0.1, 0.95
-VALUE_WIDE_GAP, VALUE_SEMICONDUCTOR, VALUE_CONDUCTOR, VALUE_OTHER = 50000.0, 30000.0, 20000.0, 15000.0
-
-
-def _total_cost(m: dict) -> float:
-    hours = (
-        m["prep_time_hours"]
-        + m["synthesis_time_hours"] * SYNTHESIS_RATE_FACTOR
-        + m["cooling_time_hours"] * COOLING_RATE_FACTOR
-    )
-    return hours * LABOR_RATE + m["estimated_cost_usd"] * (EQUIPMENT_SHARE + MATERIAL_SHARE)
-
-
 def with_cost_benefit(df: DataFrame, equipment: list[str] | None = None) -> DataFrame:
     """Best method with adjusted success, costs, value, net benefit and ratio; zeros when no method is available."""
-    out = df if "method_key" in df.columns else with_best_method(df, equipment)
-    methods = [dict(zip(METHOD_FIELDS, row)) for row in refdata.METHODS]
-
-    def per_method(pick) -> Column:
-        chosen = F.lit(None)
-        for m in methods:
-            chosen = F.when(F.col("method_key") == m["method_key"], F.lit(pick(m))).otherwise(chosen)
-        return chosen
-
+    out = _with_best(df, equipment)
     stability = column_or(df, "thermodynamic_stability_score", 0.5)
     q = column_or(df, "ensemble_probability", 0.5)
     gap = column_or(df, "band_gap", 1.0)
-    raw = per_method(lambda m: m["success_probability"]) * stability * q * SUCCESS_BONUS
-    out = out.withColumns(
-        {
-            "recommended_method": F.coalesce(per_method(lambda m: m["method_name"]), F.lit("No suitable method available")),
-            "_success": clip(raw, SUCCESS_MIN, SUCCESS_MAX),
-            "_cost": per_method(_total_cost).cast("double"),
-        }
-    )
+    adjusted = clip(F.col("_best.success") * stability * q * SUCCESS_BONUS, SUCCESS_MIN, SUCCESS_MAX)
     value = (
         F.when(gap > 2.5, F.lit(VALUE_WIDE_GAP)).when(gap > 1.5, F.lit(VALUE_SEMICONDUCTOR))
         .when(gap < 0.5, F.lit(VALUE_CONDUCTOR)).otherwise(F.lit(VALUE_OTHER))
     ) * stability * q
-    known = F.col("method_key").isNotNull()
+    out = out.withColumns({"_success": adjusted, "_value": value})
+    known = F.col("_best").isNotNull()
     out = out.withColumns(
         {
+            "method_key": F.col("_best.method_key"),
+            "method_score": F.col("_best.score"),
+            "recommended_method": F.coalesce(F.col("_best.method_name"), F.lit("No suitable method available")),
             "success_probability": F.when(known, F.col("_success")).otherwise(0.0),
-            "total_cost": F.when(known, F.col("_cost")).otherwise(0.0),
-            "expected_cost": F.when(known, F.col("_cost") / F.col("_success")).otherwise(0.0),
-            "expected_value": F.when(known, value * F.col("_success")).otherwise(0.0),
+            "total_cost": F.when(known, F.col("_best.cost")).otherwise(0.0),
+            "expected_cost": F.when(known, F.col("_best.cost") / F.col("_success")).otherwise(0.0),
+            "expected_value": F.when(known, F.col("_value") * F.col("_success")).otherwise(0.0),
         }
-    )
+    ).drop("_best", "_success", "_value")
+    cost, worth = F.col("expected_cost"), F.col("expected_value")
     return out.withColumns(
         {
-            "net_benefit": F.col("expected_value") - F.col("expected_cost"),
-            "benefit_cost_ratio": F.when(
-                F.col("expected_cost") > 0, F.try_divide(F.col("expected_value"), F.col("expected_cost"))
-            ).otherwise(0.0),
+            "net_benefit": worth - cost,
+            "benefit_cost_ratio": F.when(cost > 0, F.try_divide(worth, cost)).otherwise(0.0),
         }
-    ).drop("_success", "_cost")
+    )
 
 
 # Fixed values: (method, total of its cost items, success factor, success limit) of the three-method model.

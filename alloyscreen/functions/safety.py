@@ -6,71 +6,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import column_or, texts
+from alloyscreen.functions.basics import column_or, fixed_text, texts
 from alloyscreen.functions.composition import element_array
 
 SAFE, REVIEW, UNSAFE = "safe", "human_review", "unsafe"
 
 
-def _findings(df: DataFrame, safe_mode: bool, override: bool, policy: dict) -> tuple[list[Column], list[Column]]:
-    """(reasons against export, warnings), each entry null where it does not apply."""
+def _findings(df: DataFrame, safe_mode: bool, override: bool, policy: dict) -> tuple[list, list]:
+    """(reasons against export, warnings) as pairs of a never-null flag and its text."""
     blacklist = F.array(*[F.lit(e) for e in policy["blacklist_elements"]])
-    hazards = F.array_intersect(element_array(df), blacklist)
-    hazardous = F.size(hazards) > 0
-    listed = F.array_join(hazards, ", ")
+    elements = element_array(df)
+    hazardous = F.arrays_overlap(elements, blacklist)
+    listed = F.array_join(F.array_intersect(elements, blacklist), ", ")
 
-    p = column_or(df, "ensemble_probability", 0.0)
+    p = column_or(df, "ensemble_probability", 0.0).cast("double")
     limit = policy["ensemble_probability_min"] if safe_mode else policy["relaxed_probability_min"]
-    stability = column_or(df, "thermodynamic_stability_category", "unknown")
+    stability = F.coalesce(column_or(df, "thermodynamic_stability_category", "unknown"), F.lit("unknown"))
     required = policy["thermodynamic_stability_required"]
-    off_class = F.coalesce(stability != required, F.lit(True))
-    shown_class = F.coalesce(stability, F.lit("unknown"))
-    distribution = column_or(df, "in_distribution", "unknown")
-    far = F.coalesce(distribution != "in-dist", F.lit(True)) if policy["in_distribution_required"] else F.lit(False)
-    shown_distribution = F.coalesce(distribution, F.lit("unknown"))
-    far_warning = F.when(far, F.lit("Out-of-distribution material: predictions may be less reliable"))
+    off_class = stability != required
+    distribution = F.coalesce(column_or(df, "in_distribution", "unknown"), F.lit("unknown"))
+    far = (distribution != "in-dist") if policy["in_distribution_required"] else F.lit(False)
 
     # A missing probability never passes.
-    low = F.when(p.isNull() | F.isnan(p.cast("double")), F.lit("Ensemble probability missing")).when(
-        p < limit,
-        F.concat(F.lit("Ensemble probability too low: "), F.format_string("%.3f", p.cast("double")), F.lit(f" < {limit}")),
+    enough = F.coalesce((p >= limit) & ~F.isnan(p), F.lit(False))
+    low_text = F.coalesce(
+        F.concat(F.lit("Ensemble probability too low: "), fixed_text(p, 3), F.lit(f" < {limit}")),
+        F.lit("Ensemble probability missing"),
     )
     reasons, warnings = [], []
     if override:
-        warnings.append(F.when(hazardous, F.concat(F.lit("Human override approved for hazardous elements: "), listed)))
+        warnings.append((hazardous, F.concat(F.lit("Human override approved for hazardous elements: "), listed)))
     else:
-        reasons.append(F.when(hazardous, F.concat(F.lit("Contains hazardous elements: "), listed)))
-    reasons.append(low)
+        reasons.append((hazardous, F.concat(F.lit("Contains hazardous elements: "), listed)))
+    reasons.append((~enough, low_text))
     if safe_mode and override:
-        warnings.append(F.when(off_class, F.concat(F.lit("Human override for stability: "), shown_class)))
+        warnings.append((off_class, F.concat(F.lit("Human override for stability: "), stability)))
     elif safe_mode:
-        reasons.append(F.when(off_class, F.concat(F.lit(f"Stability category not '{required}': "), shown_class)))
+        reasons.append((off_class, F.concat(F.lit(f"Stability category not '{required}': "), stability)))
     elif not override:
-        reasons.append(F.when(stability == "unstable", F.concat(F.lit("Unstable material: "), stability)))
+        reasons.append((stability == "unstable", F.concat(F.lit("Unstable material: "), stability)))
     if safe_mode and not override:
-        reasons.append(F.when(far, F.concat(F.lit("Out-of-distribution material: "), shown_distribution)))
+        reasons.append((far, F.concat(F.lit("Out-of-distribution material: "), distribution)))
     else:
-        warnings.append(far_warning)
+        warnings.append((far, F.lit("Out-of-distribution material: predictions may be less reliable")))
     return reasons, warnings
 
 
-def _array(parts: list[Column]) -> Column:
-    return texts(*parts) if parts else F.array().cast("array<string>")
+def _passes(reasons: list) -> Column:
+    """No reason applies. Built from the flags alone, so that filters on it do not build any text."""
+    passed = F.lit(True)
+    for applies, _ in reasons:
+        passed = passed & ~applies
+    return passed
+
+
+def _texts(findings: list) -> Column:
+    parts = [F.when(applies, text) for applies, text in findings]
+    return F.array_join(texts(*parts), "; ") if parts else F.lit("")
 
 
 def with_safety_check(
     df: DataFrame, safe_mode: bool = True, human_override: bool = False, policy: dict | None = None
 ) -> DataFrame:
     reasons, warnings = _findings(df, safe_mode, human_override, policy or refdata.HAZARD_POLICY)
-    out = df.withColumn("_reasons", _array(reasons))
-    none = F.size("_reasons") == 0
-    return out.withColumns(
+    passed = _passes(reasons)
+    return df.withColumns(
         {
-            "safety_check_passed": none,
-            "safety_reason": F.when(none, F.lit("Safe for export")).otherwise(F.array_join("_reasons", "; ")),
-            "safety_warnings": F.array_join(_array(warnings), "; "),
+            "safety_check_passed": passed,
+            "safety_reason": F.when(passed, F.lit("Safe for export")).otherwise(_texts(reasons)),
+            "safety_warnings": _texts(warnings),
         }
-    ).drop("_reasons")
+    )
 
 
 def with_safety_class(
@@ -78,18 +84,19 @@ def with_safety_class(
 ) -> DataFrame:
     """Safe, safe only with a human override, or unsafe: both checks in one projection."""
     policy = policy or refdata.HAZARD_POLICY
-    out = with_safety_check(df, safe_mode, human_override, policy)
-    reasons, warnings = _findings(df, safe_mode, True, policy)
-    passes = (F.size(_array(reasons)) == 0) & F.lit(bool(policy["human_override_allowed"]))
-    out = out.withColumn("_passes_with_override", passes)
-    needs = ~F.col("safety_check_passed") & F.col("_passes_with_override")
-    return out.withColumns(
+    reasons, warnings = _findings(df, safe_mode, human_override, policy)
+    reasons_left, warnings_left = _findings(df, safe_mode, True, policy)
+    passed = _passes(reasons)
+    needs = ~passed & _passes(reasons_left) if policy["human_override_allowed"] else F.lit(False)
+    return df.withColumns(
         {
-            "safety_class": F.when(F.col("safety_check_passed"), SAFE).when(needs, REVIEW).otherwise(UNSAFE),
+            "safety_check_passed": passed,
+            "safety_reason": F.when(passed, F.lit("Safe for export")).otherwise(_texts(reasons)),
+            "safety_warnings": F.when(needs, _texts(warnings_left)).otherwise(_texts(warnings)),
+            "safety_class": F.when(passed, SAFE).when(needs, REVIEW).otherwise(UNSAFE),
             "requires_human_override": needs,
-            "safety_warnings": F.when(needs, F.array_join(_array(warnings), "; ")).otherwise(F.col("safety_warnings")),
         }
-    ).drop("_passes_with_override")
+    )
 
 
 RATING_COLUMNS = ["safety_check_passed", "safety_reason", "safety_warnings", "requires_human_override", "safety_rating"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, column_or, flag, points
+from alloyscreen.functions.basics import clip, column_or, fixed_text, flag, points, texts
 
 HIGHLY_STABLE_MAX = refdata.STABILITY_CLASSES[0][1]
 MARGINAL_MAX = refdata.STABILITY_CLASSES[1][1]
@@ -92,21 +92,21 @@ def label_proxy(df: DataFrame, label: str = "synthesizable") -> DataFrame:
     return df.withColumn(label, flag(F.col("energy_above_hull") <= MARGINAL_MAX))
 
 
-# The seven rules as (column, value if absent, lowest, highest, points, format, text before, text
+# The seven rules as (column, value if absent, lowest, highest, points, decimals, text before, text
 # after, verdict if inside, verdict if outside).
 RULES = [
-    ("energy_above_hull", 0.0, None, 0.1, 2.0, "%.3f",
+    ("energy_above_hull", 0.0, None, 0.1, 2.0, 3,
      "Low energy above hull (", "High energy above hull (", " eV/atom) indicates stability",
      " eV/atom) indicates instability"),
-    ("formation_energy_per_atom", 0.0, -4.0, 1.0, 1.5, "%.3f",
+    ("formation_energy_per_atom", 0.0, -4.0, 1.0, 1.5, 3,
      "Formation energy (", "Formation energy (", " eV/atom) is reasonable", " eV/atom) is extreme"),
-    ("nsites", 10, None, 20, 1.0, "%d",
+    ("nsites", 10, None, 20, 1.0, 0,
      "Unit cell size (", "Unit cell size (", " sites) is reasonable", " sites) is very large"),
-    ("density", 5.0, 2.0, 25.0, 1.0, "%.1f", "Density (", "Density (", " g/cm³) is reasonable", " g/cm³) is unusual"),
-    ("band_gap", 0.0, None, 8.0, 1.5, "%.1f", "Band gap (", "Band gap (", " eV) is reasonable", " eV) is very wide"),
-    ("electronegativity", 1.5, 0.7, 2.8, 1.0, "%.2f",
+    ("density", 5.0, 2.0, 25.0, 1.0, 1, "Density (", "Density (", " g/cm³) is reasonable", " g/cm³) is unusual"),
+    ("band_gap", 0.0, None, 8.0, 1.5, 1, "Band gap (", "Band gap (", " eV) is reasonable", " eV) is very wide"),
+    ("electronegativity", 1.5, 0.7, 2.8, 1.0, 2,
      "Electronegativity (", "Electronegativity (", ") is reasonable", ") is extreme"),
-    ("atomic_radius", 1.4, 0.8, 2.5, 1.0, "%.2f",
+    ("atomic_radius", 1.4, 0.8, 2.5, 1.0, 2,
      "Atomic radius (", "Atomic radius (", " Å) is reasonable", " Å) is unusual"),
 ]
 RULE_MAX_SCORE = 10.0
@@ -126,9 +126,9 @@ def rule_score(df: DataFrame) -> Column:
 def rule_reasons(df: DataFrame) -> Column:
     """One sentence per rule, in rule order."""
     sentences = []
-    for name, default, low, high, _, form, good_lead, bad_lead, good, bad in RULES:
+    for name, default, low, high, _, digits, good_lead, bad_lead, good, bad in RULES:
         value = column_or(df, name, default)
-        shown = F.format_string(form, value.cast("int") if form == "%d" else value.cast("double"))
+        shown = fixed_text(value, digits)
         sentences.append(
             F.when(_inside(value, low, high), F.concat(F.lit(good_lead), shown, F.lit(good))).otherwise(
                 F.concat(F.lit(bad_lead), shown, F.lit(bad))

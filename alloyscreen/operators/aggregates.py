@@ -41,6 +41,11 @@ def describe(df: DataFrame, fields: list[str]) -> DataFrame:
     return basic.join(F.broadcast(ordered.quantiles(df, fields, [0.25, 0.5, 0.75])), "field", "left")
 
 
+def _total_of(symbols: str, table: dict[str, float]):
+    lookup = F.create_map(*[x for s, v in table.items() for x in (F.lit(s), F.lit(v))])
+    return F.aggregate(F.col(symbols), F.lit(0.0), lambda acc, e: acc + F.element_at(lookup, e))
+
+
 def element_means(df: DataFrame, elements: str = "elements") -> DataFrame:
     """Mean atomic number, electronegativity and radius of each row's elements (0 when none is known).
 
@@ -58,9 +63,7 @@ def element_means(df: DataFrame, elements: str = "elements") -> DataFrame:
     out = df.withColumn("_found", found)
     columns = {}
     for name, table in tables.items():
-        lookup = F.create_map(*[x for s, v in table.items() for x in (F.lit(s), F.lit(v))])
-        total = F.aggregate(F.col("_found"), F.lit(0.0), lambda acc, e, m=lookup: acc + F.element_at(m, e))
-        columns[name] = F.coalesce(F.try_divide(total, F.size("_found")), F.lit(0.0))
+        columns[name] = F.coalesce(F.try_divide(_total_of("_found", table), F.size("_found")), F.lit(0.0))
     return out.withColumns(columns).drop("_found")
 
 

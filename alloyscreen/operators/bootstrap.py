@@ -10,23 +10,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen.operators import ordered
+from alloyscreen.session import materialize
 
 GOOD_P_VALUE = 0.05
 
 
-def _draws(replicates: int, seed: int):
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Poisson counts of each value in each replicate. The generator is keyed by the value, so a repeated task draws
-        the same counts."""
+def _draw(replicates: int, seed: int):
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """First sample's count and the Poisson counts of each replicate. The generator is keyed by the value, so a
+        repeated task draws the same counts."""
         for batch in batches:
-            drawn = np.zeros((len(batch), replicates), dtype="int64")
+            drawn = np.zeros((len(batch), replicates + 1), dtype="int64")
+            drawn[:, 0] = batch["a"]
             for i, (key, n) in enumerate(zip(batch["key"], batch["b"])):
                 if n:
-                    drawn[i] = np.random.Generator(np.random.Philox(key=[seed, key & 0xFFFFFFFFFFFFFFFF])).poisson(n, replicates)
-            columns = pd.DataFrame(drawn, columns=[f"r{j}" for j in range(replicates)], index=batch.index)
-            yield pd.concat([batch[["field", "value", "a"]], columns], axis=1)
+                    bits = np.random.Philox(key=[seed, key & 0xFFFFFFFFFFFFFFFF])
+                    drawn[i, 1:] = np.random.Generator(bits).poisson(n, replicates)
+            yield pd.DataFrame({"field": batch["field"], "value": batch["value"], "counts": list(drawn)})
 
-    return weights
+    return counts
+
+
+def _slice_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sum of the counts of each field in one sorted slice."""
+    sums: dict[tuple[int, str], np.ndarray] = {}
+    for batch in batches:
+        for place, part in batch.groupby(["_slice", "field"], sort=False):
+            sums[place] = sums.get(place, 0) + np.stack(part["counts"].to_numpy()).sum(axis=0)
+    for (number, field), total in sums.items():
+        yield pd.DataFrame({"_slice": [number], "field": [field], "counts": [total]})
+
+
+def _slice_statistics(before: dict, whole: dict):
+    def largest_gap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Greatest distance between the two distribution functions inside one slice, per field and replicate."""
+        upto: dict[tuple[int, str], np.ndarray] = {}
+        gaps: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for place, part in batch.groupby(["_slice", "field"], sort=False):
+                field = place[1]
+                running = np.cumsum(np.stack(part["counts"].to_numpy()), axis=0) + upto.get(place, before[place])
+                upto[place] = running[-1]
+                share = running / np.maximum(whole[field], 1)
+                gap = np.abs(share[:, 1:] - share[:, :1]).max(axis=0)
+                gaps[field] = np.maximum(gaps.get(field, 0.0), gap)
+        for field, gap in gaps.items():
+            yield pd.DataFrame({"field": field, "replicate": np.arange(len(gap)), "gap": gap})
+
+    return largest_gap
 
 
 def ks_bootstrap(first: DataFrame, second: DataFrame, fields: list[str], replicates: int = 100, seed: int = 42) -> DataFrame:
@@ -39,20 +70,28 @@ def ks_bootstrap(first: DataFrame, second: DataFrame, fields: list[str], replica
     grouped = tagged.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(
         F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")
     )
+    spark = first.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = grouped.withColumn("key", F.xxhash64("field", "value"))
-    names = [f"r{j}" for j in range(replicates)]
-    drawn = keyed.mapInPandas(
-        _draws(replicates, seed), "field string, value double, a long, " + ", ".join(f"{n} long" for n in names)
+    drawn = keyed.mapInPandas(_draw(replicates, seed), "field string, value double, counts array<long>")
+    ranged = drawn.repartitionByRange(slices, "field", "value").sortWithinPartitions("field", "value")
+    ranged = materialize(ranged.withColumn("_slice", F.spark_partition_id()))
+    # One row per slice and field comes back: counts of the replicates, not of the data.
+    parts = ranged.mapInPandas(_slice_totals, "_slice int, field string, counts array<long>").collect()
+    before, whole = {}, {}
+    for row in sorted(parts, key=lambda x: x["_slice"]):
+        upto = whole.get(row["field"], np.zeros(replicates + 1, dtype="int64"))
+        before[(row["_slice"], row["field"])] = upto
+        whole[row["field"]] = upto + np.asarray(row["counts"])
+    gaps = ranged.mapInPandas(_slice_statistics(before, whole), "field string, replicate int, gap double")
+    sizes = spark.createDataFrame(
+        [(f, i, int(w[0]), int(w[i + 1])) for f, w in whole.items() for i in range(replicates)],
+        "field string, replicate int, n_first long, n_second long",
     )
-    totals = ordered.running_totals(drawn, "value", ["a", *names], ("field",))
-    base = F.col("a_upto") / F.col("a_total")
-    stats = totals.groupBy("field").agg(
-        F.max("a_total").alias("n_first"),
-        *[F.max(F.abs(base - F.try_divide(F.col(f"{n}_upto"), F.col(f"{n}_total")))).alias(f"{n}_stat") for n in names],
-        *[F.max(f"{n}_total").alias(f"{n}_size") for n in names],
+    stats = gaps.groupBy("field", "replicate").agg(F.max("gap").alias("ks_stat"))
+    long = stats.join(F.broadcast(sizes), ["field", "replicate"]).select(
+        "field", ordered.ks_p_value(F.col("ks_stat"), F.col("n_first"), F.col("n_second")).alias("p")
     )
-    p_values = F.array(*[ordered.ks_p_value(F.col(f"{n}_stat"), F.col("n_first"), F.col(f"{n}_size")) for n in names])
-    long = stats.select("field", F.explode(p_values).alias("p"))
     # One row per field and replicate.
     return long.groupBy("field").agg(
         F.avg("p").alias("mean_p_value"),

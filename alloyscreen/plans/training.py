@@ -285,12 +285,12 @@ def with_best_clusters(df: DataFrame, columns: list[str], ks=range(2, 8), seed:
 def property_regressors(df: DataFrame, columns: list[str], targets: list[str], trees: int = 50, seed: int = 42) -> DataFrame:
     """Each target predicted from the other columns by a forest; squared error per target and of the rebuilt table."""
     fitted = feature_ops.fit_scaler(df, columns)
-    data = feature_ops.scale(df.select(*columns), columns, fitted).fillna(0.0)
+    data = materialize(feature_ops.scale(df.select(*columns), columns, fitted).fillna(0.0))
     rows = []
     for target in targets:
         inputs = [c for c in columns if c != target]
         assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=10, seed=seed).fit(
+        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=10, maxMemoryInMB=1024, seed=seed).fit(
             assembler.transform(data)
         )
         predicted = model.transform(assembler.transform(data))
