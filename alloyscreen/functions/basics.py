@@ -35,5 +35,20 @@ def texts(*parts: Column) -> Column:
 
 
 def fixed_text(c: Column, digits: int) -> Column:
-    """``c`` with a fixed number of decimals, halves rounded up; float noise beyond nine places is removed first."""
-    return F.format_string(f"%.{digits}f", F.round(c.cast("double"), 9))
+    """``c`` with a fixed number of decimals, halves rounded up; float noise beyond nine places is removed first.
+
+    Decimal arithmetic is several times faster here than ``format_string``."""
+    return F.round(c.try_cast("decimal(28,9)"), digits).cast(f"decimal(28,{digits})").cast("string")
+
+
+def joined(separator: str, *parts: Column) -> Column:
+    """The non-null parts in one text."""
+    return F.concat_ws(separator, *parts)
+
+
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for costly columns that later filters use. A filter above a plain projection is rewritten in terms
+    of the projection's inputs and evaluates the whole expression once per mention; above a generator it stays a filter
+    on the computed value."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.drop(*[c for c in columns if c in df.columns]).select("*", F.inline(F.array(row)))

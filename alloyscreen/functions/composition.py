@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, column_or, fixed_text, texts
+from alloyscreen.functions.basics import clip, column_or, fixed_text, joined, texts
 
 SLOTS = (1, 2, 3)
 FRACTION_MIN, FRACTION_MAX = 0.05, 0.95
@@ -38,7 +38,8 @@ def slots(df: DataFrame) -> Column:
 def element_array(df: DataFrame) -> Column:
     """Distinct non-empty elements of the three slots, whatever their fractions."""
     names = [column_or(df, f"element_{i}", None).cast("string") for i in SLOTS]
-    return F.array_distinct(texts(*[F.when(n != "", n) for n in names]))
+    # Removes nulls and repetitions in one compiled step.
+    return F.array_except(F.array(*[F.when(n != "", n) for n in names]), F.array(F.lit(None).cast("string")))
 
 
 def with_weight_percent(df: DataFrame) -> DataFrame:
@@ -71,14 +72,17 @@ def with_composition_text(df: DataFrame) -> DataFrame:
     have = df if "weight_percent_1" in df.columns else with_weight_percent(df)
     share = {i: fixed_text(F.col(f"weight_percent_{i}"), 1) for i in SLOTS}
     used = {i: F.col(f"weight_percent_{i}").isNotNull() for i in SLOTS}
-    percent = texts(
+    percent = joined(
+        "; ",
         *[F.when(used[i], F.concat(column_or(df, f"element_{i}", None), F.lit(": "), share[i], F.lit("%"))) for i in SLOTS]
     )
-    grams = texts(*[F.when(used[i], F.concat(share[i], F.lit("g "), column_or(df, f"element_{i}", None))) for i in SLOTS])
+    grams = joined(
+        ", ", *[F.when(used[i], F.concat(share[i], F.lit("g "), column_or(df, f"element_{i}", None))) for i in SLOTS]
+    )
     return have.withColumns(
         {
-            "wt%": F.array_join(percent, "; "),
-            "feedstock_g_per_100g": F.when(F.size(grams) == 0, F.lit("No elements found")).otherwise(F.array_join(grams, ", ")),
+            "wt%": percent,
+            "feedstock_g_per_100g": F.when(grams == "", F.lit("No elements found")).otherwise(grams),
         }
     )
 
@@ -96,7 +100,7 @@ def atomic_percent_text(df: DataFrame) -> Column:
         )
         for i in SLOTS
     ]
-    return F.array_join(texts(*parts), "; ")
+    return joined("; ", *parts)
 
 
 def formula_text(elements: Column, fractions: Column) -> Column:
@@ -107,8 +111,11 @@ def formula_text(elements: Column, fractions: Column) -> Column:
 
 def slots_formula(df: DataFrame) -> Column:
     """Formula text of the used slots."""
-    used = slots(df)
-    return formula_text(F.transform(used, lambda s: s["element"]), F.transform(used, lambda s: s["fraction"]))
+    parts = [
+        F.when(slot_element(df, i).isNotNull(), F.concat(slot_element(df, i), fixed_text(column_or(df, f"composition_{i}", 0.0), 3)))
+        for i in SLOTS
+    ]
+    return joined("", *parts)
 
 
 FORMULA_TERM = r"([A-Z][a-z]?)([0-9]*\.?[0-9]*)"

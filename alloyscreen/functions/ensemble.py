@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, flag
+from alloyscreen.functions.basics import clip, flag, with_computed
 
 
 def distance_confidence(p: Column) -> Column:
@@ -32,7 +32,7 @@ def with_ensemble(df: DataFrame, ml_weight: float | None = None, policy: dict |
     else:
         weight = F.lit(base)
     ml, rule = F.col("synthesizability_probability"), F.col("rule_probability")
-    out = df.withColumn("ensemble_probability", weight * ml + (F.lit(1.0) - weight) * rule)
+    out = with_computed(df, {"ensemble_probability": weight * ml + (F.lit(1.0) - weight) * rule})
     p = F.col("ensemble_probability")
     agreement = F.lit(1.0) - F.abs(ml - rule) * 0.35
     return out.withColumns(
@@ -42,7 +42,7 @@ def with_ensemble(df: DataFrame, ml_weight: float | None = None, policy: dict |
 
 def with_fixed_ensemble(df: DataFrame, ml_weight: float = 0.7) -> DataFrame:
     mixed = F.col("synthesizability_probability") * ml_weight + F.col("rule_probability") * (1.0 - ml_weight)
-    out = df.withColumn("ensemble_probability", mixed)
+    out = with_computed(df, {"ensemble_probability": mixed})
     p = F.col("ensemble_probability")
     return out.withColumns({"ensemble_prediction": flag(p >= 0.5), "ensemble_confidence": distance_confidence(p)})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, column_or, points
+from alloyscreen.functions.basics import clip, column_or, points, with_computed
 from alloyscreen.functions.stability import linear_stability, stability_score
 
 METHOD_FIELDS = [f.split()[0] for f in refdata.METHOD_DDL.split(", ")]
@@ -93,7 +93,7 @@ def method_scores(df: DataFrame, equipment: list[str] | None = None, keep=("mate
 def _with_best(df: DataFrame, equipment: list[str] | None) -> DataFrame:
     ranked = _ranked(df, equipment)
     best = F.array_max(F.array(*ranked)) if ranked else F.lit(None).cast(BEST_TYPE)
-    return df.withColumn("_stability", stability_score(df)).withColumn("_best", best).drop("_stability")
+    return with_computed(df.withColumn("_stability", stability_score(df)), {"_best": best}).drop("_stability")
 
 
 def with_best_method(df: DataFrame, equipment: list[str] | None = None) -> DataFrame:

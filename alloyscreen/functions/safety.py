@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import column_or, fixed_text, texts
+from alloyscreen.functions.basics import column_or, fixed_text, joined
 from alloyscreen.functions.composition import element_array
 
 SAFE, REVIEW, UNSAFE = "safe", "human_review", "unsafe"
@@ -61,8 +61,7 @@ def _passes(reasons: list) -> Column:
 
 
 def _texts(findings: list) -> Column:
-    parts = [F.when(applies, text) for applies, text in findings]
-    return F.array_join(texts(*parts), "; ") if parts else F.lit("")
+    return joined("; ", *[F.when(applies, text) for applies, text in findings]) if findings else F.lit("")
 
 
 def with_safety_check(
@@ -151,12 +150,13 @@ def lab_notes(df: DataFrame) -> Column:
             chosen = F.when(value == key, F.lit(text)).otherwise(chosen)
         return chosen
 
-    notes = texts(
+    notes = joined(
+        "; ",
         note("thermodynamic_stability_category", STABILITY_NOTES),
         note("calibration_status", CALIBRATION_NOTES),
         note("in_distribution", DISTRIBUTION_NOTES),
     )
-    return F.when(F.size(notes) == 0, F.lit("No special notes")).otherwise(F.array_join(notes, "; "))
+    return F.when(notes == "", F.lit("No special notes")).otherwise(notes)
 
 
 def with_priority_level(df: DataFrame, step: str = "workflow_step") -> DataFrame:

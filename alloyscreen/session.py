@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "alloyscreen", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    return (
+    return tuned(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,6 +21,13 @@ def local_session(app: str = "alloyscreen", cores: int | str = "*", shuffle_part
     )
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Settings that the long projections of this library need. HotSpot does not compile methods beyond 8000 bytes of
+    bytecode; with this limit Spark splits such a stage into small methods instead of running one interpreted one."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
@@ -46,3 +53,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the copy, so that lost executors cannot change it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core a share of an input that has fewer partitions than there are cores. Tables of the size this is
+    built for have far more partitions than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

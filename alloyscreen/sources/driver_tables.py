@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alloyscreen.functions.composition import element_array, slots_formula
+from alloyscreen.session import spread, tuned
 
 SYMBOLS = "'Al,Ti,V,Cr,Mn,Fe,Co,Ni,Cu,Zn,Cd,Pb'"
 TERNARY = "l_orderkey % 10 < 3"
@@ -15,6 +16,8 @@ HULL_STEP = "(l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 100"
 GAP_STEP = "(l_orderkey + l_partkey * 3) % 100"
 HUNDRED = "CAST(100 AS DOUBLE)"
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"]
+
 MATERIAL_COLUMNS = {
     "material_id": "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), "
     "'-', CAST(l_suppkey AS STRING), '-', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING))",
@@ -50,7 +53,7 @@ OUTCOME_COLUMNS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def as_materials(lineitem: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def as_outcomes(events: DataFrame) -> DataFrame:
 
 
 def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_materials(table(spark, sf_dir, "lineitem"))
+    return as_materials(spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)))
 
 
 def with_formula(df: DataFrame) -> DataFrame:
