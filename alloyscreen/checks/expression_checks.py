@@ -317,11 +317,16 @@ def interaction_features(spark, d):
     return out.select("material_id", *[F.round(c, 9).alias(c) for c in first], *[F.round(c, 7).alias(c) for c in second])
 
 
-@check("display_round", f"SELECT material_id, formula, {r('thermodynamic_stability_score', 'thermodynamic_stability_score', 3)}, thermodynamic_stability_category, {r('ensemble_probability', 'ensemble_probability', 3)}, energy_above_hull, density FROM ens")
+def _three_places(c: str) -> str:
+    return f"CAST(round(CAST({c} AS DECIMAL(18, 9)), 3) AS DOUBLE) AS {c}"
+
+
+@check("display_round", f"SELECT material_id, formula, {_three_places('thermodynamic_stability_score')}, thermodynamic_stability_category, {_three_places('ensemble_probability')}, {_three_places('energy_above_hull')}, {_three_places('density')} FROM ens")
 def display_round(spark, d):
-    out = scored(spark, d)
-    return out.select("material_id", "formula", F.round("thermodynamic_stability_score", 3).alias("thermodynamic_stability_score"), "thermodynamic_stability_category",
-                      F.round("ensemble_probability", 3).alias("ensemble_probability"), "energy_above_hull", "density")
+    """Display tables: three places, after float noise beyond nine places is gone."""
+    shown = ["thermodynamic_stability_score", "ensemble_probability", "energy_above_hull", "density"]
+    out = scored(spark, d).select("material_id", "formula", "thermodynamic_stability_category", *shown)
+    return rounded(rounded(out, 9), 3)
 
 
 @check("slots_from_list", "SELECT material_id, elements[1] AS element_1, elements[2] AS element_2 FROM full_materials")

@@ -210,7 +210,7 @@ def cross_validate(table: DataFrame, features: list[str], folds: int = 5, kind:
         estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, foldCol="fold",
         parallelism=2,
     ).fit(data)
-    return {"cv_mean": search.avgMetrics[0], "cv_std": search.stdMetrics[0]}
+    return {"cv_mean": float(search.avgMetrics[0]), "cv_std": float(search.stdMetrics[0])}
 
 
 def fold_spread(mean: float, std: float) -> dict:
