@@ -15,6 +15,11 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def unreadable(c: Column) -> Column:
+    """Present, but not a number. NaN is a missing value, not an unreadable one."""
+    return c.isNotNull() & c.try_cast("double").isNull()
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """``c`` limited to [low, high]; null stays null."""
     return F.when(c < low, F.lit(float(low))).when(c > high, F.lit(float(high))).otherwise(c)

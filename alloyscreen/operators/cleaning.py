@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alloyscreen import schema
-from alloyscreen.functions.basics import clip, number
+from alloyscreen.functions.basics import clip, number, unreadable
 from alloyscreen.operators import ordered
 
 
@@ -22,7 +22,7 @@ def coerce_numeric(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def coercion_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     """Values per field that are present but cannot be read as a number."""
-    counted = df.agg(*[F.count_if(F.col(f"`{f}`").isNotNull() & number(F.col(f"`{f}`")).isNull()).alias(f) for f in fields])
+    counted = df.agg(*[F.count_if(unreadable(F.col(f"`{f}`"))).alias(f) for f in fields])
     rows = [F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("coerced")) for f in fields]
     return counted.select(F.inline(F.array(*rows)))
 

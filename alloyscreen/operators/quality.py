@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import schema
-from alloyscreen.functions.basics import number
+from alloyscreen.functions.basics import number, unreadable
 
 
 def _unpivot(one_row: DataFrame, fields: list[str], parts: list[str]) -> DataFrame:
@@ -15,7 +15,12 @@ def _unpivot(one_row: DataFrame, fields: list[str], parts: list[str]) -> DataFra
 
 
 def _unreadable(df: DataFrame, field: str) -> Column:
-    return F.count_if(F.col(f"`{field}`").isNotNull() & number(F.col(f"`{field}`")).isNull())
+    return F.count_if(unreadable(F.col(f"`{field}`")))
+
+
+def _missing(df: DataFrame, field: str) -> Column:
+    c = F.col(f"`{field}`")
+    return F.count_if(c.isNull() | F.isnan(c) if dict(df.dtypes)[field] in ("double", "float") else c.isNull())
 
 
 def quality_report(df: DataFrame, required: list[str] | None = None) -> DataFrame:
@@ -25,7 +30,7 @@ def quality_report(df: DataFrame, required: list[str] | None = None) -> DataFram
     for f in fields:
         here = f in df.columns
         text = schema.CANONICAL_TYPES.get(f) == "string"
-        nulls = F.count_if(F.col(f"`{f}`").isNull()) if here else F.count_if(F.lit(True))
+        nulls = _missing(df, f) if here else F.count_if(F.lit(True))
         bad = _unreadable(df, f) if here and not text else F.count_if(F.lit(False))
         measures += [
             F.first(F.lit(here)).alias(f"{f}__present"),
