@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata
-from alloyscreen.functions.basics import clip, column_or, fixed_text, joined, texts
+from alloyscreen.functions.basics import clip, column_or, fixed_text, joined, texts, with_computed
 
 SLOTS = (1, 2, 3)
 FRACTION_MIN, FRACTION_MAX = 0.05, 0.95
@@ -119,53 +119,50 @@ def slots_formula(df: DataFrame) -> Column:
 
 
 FORMULA_TERM = r"([A-Z][a-z]?)([0-9]*\.?[0-9]*)"
-FORMULA_SHAPE = r"^([A-Z][a-z]?([0-9]+\.?[0-9]*|\.[0-9]+)?)+$"
+FORMULA_SHAPE = r"^(?:(?:" + "|".join(refdata.ATOMIC_WEIGHTS) + r")(?:[0-9]+\.?[0-9]*|\.[0-9]+)?(?![a-z]))+$"
 
 
-def formula_amounts(formula: Column) -> Column:
-    """Amount per element of a flat formula as ``array<struct<element, amount>>``; null when it cannot be read."""
-    symbols = F.regexp_extract_all(formula, F.lit(FORMULA_TERM), F.lit(1))
-    counts = F.regexp_extract_all(formula, F.lit(FORMULA_TERM), F.lit(2))
-    terms = F.zip_with(
-        symbols, counts, lambda s, n: F.struct(s.alias("element"), F.coalesce(n.try_cast("double"), F.lit(1.0)).alias("amount"))
+def with_formula_amounts(df: DataFrame, formula: str, name: str) -> DataFrame:
+    """Amounts of the distinct elements of a flat formula as an array of doubles; null when it cannot be read."""
+    text = F.col(formula)
+    terms = with_computed(
+        df.withColumn("_readable", text.rlike(FORMULA_SHAPE)),
+        {
+            "_symbols": F.when(F.col("_readable"), F.regexp_extract_all(text, F.lit(FORMULA_TERM), F.lit(1))),
+            "_counts": F.when(
+                F.col("_readable"),
+                F.transform(
+                    F.regexp_extract_all(text, F.lit(FORMULA_TERM), F.lit(2)),
+                    lambda n: F.coalesce(n.try_cast("double"), F.lit(1.0)),
+                ),
+            ),
+        },
     )
-    known = F.array(*[F.lit(s) for s in refdata.ATOMIC_WEIGHTS])
+    distinct = F.array_distinct("_symbols")
     summed = F.transform(
-        F.array_distinct(symbols),
-        lambda s: F.struct(
-            s.alias("element"),
-            F.aggregate(
-                F.filter(terms, lambda t: t["element"] == s), F.lit(0.0), lambda acc, t: acc + t["amount"]
-            ).alias("amount"),
+        distinct,
+        lambda s: F.aggregate(
+            F.zip_with("_symbols", "_counts", lambda t, n: F.when(t == s, n).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x
         ),
     )
-    readable = formula.rlike(FORMULA_SHAPE) & (F.size(F.array_except(symbols, known)) == 0)
-    return F.when(readable, summed)
-
+    amounts = F.when(F.size(distinct) == F.size("_symbols"), F.col("_counts")).otherwise(summed)
+    return with_computed(terms, {name: amounts}).drop("_readable", "_symbols", "_counts")
 
-def _three(fractions: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.coalesce(F.try_element_at(fractions, i), F.lit(0.0)))
 
-
-def top_fractions(df: DataFrame, formula_columns=("formula", "formula_pretty", "composition")) -> Column:
+def with_top_fractions(df: DataFrame, formula_columns=("formula", "formula_pretty", "composition")) -> DataFrame:
     """Three largest atomic fractions of the first readable formula, else equal shares of ``elements``, else zeros."""
-    choices = []
-    for name in formula_columns:
-        if name in df.columns:
-            amounts = F.transform(formula_amounts(F.col(name)), lambda t: t["amount"])
-            total = F.aggregate(amounts, F.lit(0.0), lambda acc, x: acc + x)
-            largest = F.slice(F.sort_array(amounts, asc=False), 1, 3)
-            choices.append(F.when(total > 0, _three(F.transform(largest, lambda x: x / total))))
+    out, choices = df, []
+    for formula in (c for c in formula_columns if c in df.columns):
+        out = with_formula_amounts(out, formula, f"_amounts_{formula}")
+        total = F.aggregate(f"_amounts_{formula}", F.lit(0.0), lambda acc, x: acc + x)
+        choices.append(F.when(total > 0, F.col(f"_amounts_{formula}")))
     if "elements" in df.columns:
-        n = F.size("elements")
-        share = F.array_repeat(F.lit(1.0) / n, F.least(n, F.lit(3)))
-        choices.append(F.when(n > 0, _three(share)))
-    return F.coalesce(*choices, F.array(*[F.lit(0.0)] * 3))
-
-
-def with_top_fractions(df: DataFrame) -> DataFrame:
-    out = df.withColumn("_fractions", top_fractions(df))
-    return out.withColumns({f"composition_{i}": F.col("_fractions")[i - 1] for i in SLOTS}).drop("_fractions")
+        choices.append(F.when(F.size("elements") > 0, F.array_repeat(F.lit(1.0), F.size("elements"))))
+    out = with_computed(out, {"_parts": F.sort_array(F.coalesce(*choices, F.array(F.lit(0.0))), asc=False)})
+    out = with_computed(out, {"_whole": F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x)})
+    share = [F.coalesce(F.try_divide(F.try_element_at("_parts", F.lit(i)), F.col("_whole")), F.lit(0.0)) for i in SLOTS]
+    out = out.withColumns({f"composition_{i}": x for i, x in zip(SLOTS, share)})
+    return out.drop("_parts", "_whole", *[f"_amounts_{c}" for c in formula_columns])
 
 
 def with_clamped_binary(df: DataFrame, low: float = FRACTION_MIN, high: float = FRACTION_MAX) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alloyscreen import refdata
 from alloyscreen.functions import composition, ensemble, safety
-from alloyscreen.functions.basics import column_or, number
+from alloyscreen.functions.basics import column_or, number, with_computed
 from alloyscreen.operators import ordered
 
 TERTIARY_MIN_ROWS, TERTIARY_MIN_FRACTION = 50, 0.15
@@ -41,30 +41,25 @@ def describe(df: DataFrame, fields: list[str]) -> DataFrame:
     return basic.join(F.broadcast(ordered.quantiles(df, fields, [0.25, 0.5, 0.75])), "field", "left")
 
 
-def _total_of(symbols: str, table: dict[str, float]):
-    lookup = F.create_map(*[x for s, v in table.items() for x in (F.lit(s), F.lit(v))])
-    return F.aggregate(F.col(symbols), F.lit(0.0), lambda acc, e: acc + F.element_at(lookup, e))
-
-
 def element_means(df: DataFrame, elements: str = "elements") -> DataFrame:
     """Mean atomic number, electronegativity and radius of each row's elements (0 when none is known).
 
     The row's own array decides the mean, so it is computed inside the row from a map of the known elements; no
     explode, no shuffle back together."""
-    known = refdata.ALLOY_ELEMENTS
     number_of = {s: z for z, s in enumerate(refdata.ATOMIC_WEIGHTS, start=1)}
-    tables = {
-        "avg_atomic_number": {r[0]: float(number_of[r[0]]) for r in known},
-        "electronegativity": {r[0]: r[1] for r in known},
-        "atomic_radius": {r[0]: r[2] for r in known},
-    }
-    symbols = F.array(*[F.lit(r[0]) for r in known])
-    found = F.filter(F.coalesce(F.col(elements), F.array().cast("array<string>")), lambda e: F.array_contains(symbols, e))
-    out = df.withColumn("_found", found)
-    columns = {}
-    for name, table in tables.items():
-        columns[name] = F.coalesce(F.try_divide(_total_of("_found", table), F.size("_found")), F.lit(0.0))
-    return out.withColumns(columns).drop("_found")
+    entries = []
+    for symbol, chi, radius, *_ in refdata.ALLOY_ELEMENTS:
+        entries += [F.lit(symbol), F.struct(F.lit(float(number_of[symbol])).alias("z"), F.lit(chi).alias("chi"), F.lit(radius).alias("r"))]
+    table = F.create_map(*entries)
+    found = F.filter(F.transform(elements, lambda e: F.try_element_at(table, e)), lambda p: p.isNotNull())
+    out = with_computed(df, {"_found": found})
+    names = {"avg_atomic_number": "z", "electronegativity": "chi", "atomic_radius": "r"}
+    return out.withColumns({name: _mean_of("_found", part) for name, part in names.items()}).drop("_found")
+
+
+def _mean_of(structs: str, part: str):
+    total = F.aggregate(F.col(structs), F.lit(0.0), lambda acc, p: acc + p[part])
+    return F.coalesce(F.try_divide(total, F.size(structs)), F.lit(0.0))
 
 
 MIXED = ["melting_point", "boiling_point", "density", "electronegativity", "atomic_radius"]

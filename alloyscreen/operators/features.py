@@ -9,6 +9,7 @@ from alloyscreen import schema
 from alloyscreen.functions import composition, stability
 from alloyscreen.functions.basics import clip, column_or
 from alloyscreen.operators import aggregates, cleaning, joins, mapping
+from alloyscreen.session import materialize
 from alloyscreen.sources import scans
 
 VOCABULARY_MAX = 200
@@ -82,8 +83,11 @@ def ml_features(raw: DataFrame) -> DataFrame:
 
 
 def training_dataset(materials: DataFrame, n_materials: int = 500, energy_above_hull_max: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(features, raw rows) of the default element pairs, at most ``max(20, n/15)`` rows per pair."""
-    raw = scans.training_scan(materials, None, max(20, n_materials // 15), energy_above_hull_max)
+    """(features, raw rows) of the default element pairs, at most ``max(20, n/15)`` rows per pair.
+
+    The few chosen rows are written out, so that the means, the joins and the fits that follow do not scan the whole
+    materials table again."""
+    raw = materialize(scans.training_scan(materials, None, max(20, n_materials // 15), energy_above_hull_max))
     return ml_features(raw), raw
 
 
