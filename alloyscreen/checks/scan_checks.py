@@ -2,10 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alloyscreen import schema
-from alloyscreen.checks.core import check, full, outcomes, quoted, r, rounded, scored
-from alloyscreen.functions import composition, methods, safety
-from alloyscreen.operators import features, ranking
+from alloyscreen.checks.core import check, full, outcomes, r, rounded, scored
+from alloyscreen.functions import composition, methods
+from alloyscreen.operators import features
 from alloyscreen.plans import export, screening
 from alloyscreen.session import run_folder
 from alloyscreen.sources import scans, sinks
