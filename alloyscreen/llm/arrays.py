@@ -99,8 +99,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
         if e - s >= width:
             out.append(np.unique(rolled[s : e - width + 1]))
         elif e > s:
-            short = (hashes[s:e] * _MIX[: e - s]).sum(dtype=np.uint64) + _MIX[width + e - s]
-            out.append(mixed(np.array([short], np.uint64)))
+            out.append(mixed((hashes[s:e] * _MIX[: e - s]).sum(dtype=np.uint64, keepdims=True) + _MIX[width + e - s]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

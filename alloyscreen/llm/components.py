@@ -40,8 +40,11 @@ def bucket_links(members: DataFrame, measured: Callable[[DataFrame], DataFrame],
     component. Otherwise the triangle inequality splits it: a member farther than twice the reach from all pivots
     cannot be linked with one within reach of a pivot, so {near, middle} and {middle, far} become buckets of their own, with
     new pivots. Both are smaller, so this ends; each id takes part in at most ``pivots`` pairs per bucket and round."""
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(members.join(several, "key").select("key", "id", F.lit(1).alias("rank")), "members")
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(several, "key").select("key", "id", "n"), "members")
+    # ids that meet many others lie in the middle of their group: they come first as pivots
+    weight = shared.groupBy("id").agg((-F.sum("n")).alias("rank"))
+    members = written(shared.select("key", "id").join(weight, "id"), "ranked")
     found = None
     order = Window.partitionBy("key").orderBy("rank", "id")
     while True:
@@ -58,6 +61,7 @@ def bucket_links(members: DataFrame, measured: Callable[[DataFrame], DataFrame],
         rest = written(rest.join(large, "key"), "rest")
         if rest.isEmpty():
             return found
+        pivots = min(8 * pivots, 512)
         root = components(found)
         rest = rest.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -73,7 +77,8 @@ def bucket_links(members: DataFrame, measured: Callable[[DataFrame], DataFrame],
             F.xxhash64("key", "part").alias("key"), "id", "root", "rank",
         )
         split = written(split, "split")
-        wide = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = written(split.join(wide, "key").select("key", "id", "rank"), "members")
+        # buckets of the same members need one of them only
+        wide = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("print")).where("lo <> hi")
+        members = written(split.join(wide.groupBy("n", "print").agg(F.min("key").alias("key")), "key").select("key", "id", "rank"), "members")
         if members.isEmpty():
             return found

@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, chunks:
         pairs = written(pairs.withColumn("bound", bound), "pairs")
         close = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        sets = own.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(collect, "node long, shingles array<long>")
+        sets = written(own.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(collect, "node long, shingles array<long>"), "sets")
         with_a = close.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
         with_b = with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
         shared = with_b.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
