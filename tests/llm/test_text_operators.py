@@ -186,8 +186,8 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(table.where("false")).count() == 0
 
 
-def test_importance_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+def test_importance_held_out(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = importance.resampled(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     good = got[got.quality == 1].kept.mean()
     bad = got[got.quality == 0].kept.mean()
