@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from alloyscreen.llm import bpe, fuzzy_lines, importance, line_rules, near_duplicates, packing, secret_scan, token_counts, token_files, vectors
+from alloyscreen.llm import bpe, fuzzy_lines, importance, line_rules, near_duplicates, oracles, packing, secret_scan, token_counts, token_files, vectors
 from alloyscreen.session import run_folder
 
 
@@ -62,4 +62,4 @@ QUERIES = {
         op9_token_files, op10_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_rules": oracles.line_first(), "op5_secret_scan": oracles.scanned()}
