@@ -2,7 +2,7 @@
 
 A file set is a folder of Parquet files written and read by Spark, so that it can lie in any store. Each row is a segment:
 ``part`` and ``segment`` (their order is that of the documents), ``doc_ids`` (64-bit little-endian) and ``doc_known`` (a bit
-each, for null ids), ``n_docs``, ``n_ids``, ``ids`` (16 bits an id where all are below 65,536, else 32) and the boundaries: ``low_bits``, ``low``
+each, for null ids), ``n_docs``, ``n_ids``, ``before`` (ids of the part's earlier segments), ``ids`` (16 bits an id where all are below 65,536, else 32) and the boundaries: ``low_bits``, ``low``
 (that many bits of each document's end), ``high`` (the rest in unary: bit ``(end >> low_bits) + k`` is set for document k) and
 ``samples`` (32-bit place of every 64th set bit of ``high``). An end costs about 2 + log2(ids per document) bits."""
 
@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alloyscreen.llm.arrays import slices
@@ -22,7 +22,7 @@ _SAMPLE = 64
 #: Ids and documents after which a segment ends; a longer document has one to itself.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 SCHEMA = (
-    "part int, segment int, doc_ids binary, doc_known binary, n_docs int, n_ids long, ids binary, low_bits int, low binary, high binary, samples binary"
+    "part int, segment int, doc_ids binary, doc_known binary, n_docs int, n_ids long, before long, ids binary, low_bits int, low binary, high binary, samples binary"
 )
 
 
@@ -66,11 +66,11 @@ class EliasFano:
         return ((places - np.arange(self.count)) << self.low_bits) + low
 
 
-def segment(part: int, number: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> tuple:
+def segment(part: int, number: int, before: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> tuple:
     known = np.array([d is not None for d in doc_ids], np.uint8)
     narrow = not len(ids) or int(ids.max()) < 1 << 16
     return (
-        part, number, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known, bitorder="little").tobytes(), len(doc_ids), len(ids),
+        part, number, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known, bitorder="little").tobytes(), len(doc_ids), len(ids), before,
         bytes([2 if narrow else 4]) + ids.astype("<u2" if narrow else "<u4").tobytes(), *EliasFano.parts(ends),
     )
 
@@ -87,12 +87,12 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
+        coder, part, number, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         names, chunks, ends, size = [], [], [], 0
         end = np.array([end_id], np.uint32)
 
         def close():
-            rows = [segment(part, number, names, np.concatenate(chunks), np.array(ends, np.int64))]
+            rows = [segment(part, number, before, names, np.concatenate(chunks), np.array(ends, np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
         for batch in slices(batches, "text"):
@@ -101,7 +101,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_column: s
             for doc, s, n in zip(batch.column("doc_id").to_pylist(), at.tolist(), lengths.tolist(), strict=True):
                 if names and (size + n > SEGMENT_IDS or len(names) >= SEGMENT_DOCS):
                     yield close()
-                    names, chunks, ends, size, number = [], [], [], 0, number + 1
+                    names, chunks, ends, size, number, before = [], [], [], 0, number + 1, before + size
                 names.append(doc)
                 chunks += [ids[s : s + n], end]
                 size += n + 1
@@ -120,18 +120,12 @@ _TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document of a file set.
 
-    Of the segments only their sizes are shuffled. The parts' starts go through the driver: one number a part."""
+    No segment is shuffled: each holds its start in its part, and the parts' starts, one number for each writing task, go
+    through the driver."""
     files = spark.read.schema(SCHEMA).parquet(folder)
-    sizes = files.select("part", "segment", "n_ids")
-    totals = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    before, begins = 0, {}
-    for part, n in totals:
-        begins[part] = before
-        before += n
-    own = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    begin = spark.createDataFrame(list(begins.items()), "part int, begin long")
-    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(F.broadcast(begin), "part")
-    starts = starts.select("part", "segment", (F.col("begin") + F.col("inside")).alias("first"))
+    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    begin = np.cumsum([0, *[n for _, n in totals]]).tolist()
+    begins = spark.createDataFrame([(part, at) for (part, _), at in zip(totals, begin, strict=False)], "part int, begin long")
 
     def run(batches):
         for batch in batches:
@@ -143,11 +137,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 known = np.unpackbits(np.frombuffer(row["doc_known"], np.uint8), bitorder="little")[: row["n_docs"]] == 0
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(begin.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=known), pa.array(begin + row["first"]), pa.array(ends - begin), pa.array(crc, pa.int64())],
+                    [pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=known), pa.array(begin + row["begin"] + row["before"]), pa.array(ends - begin), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.join(starts, ["part", "segment"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(begins), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def document(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
