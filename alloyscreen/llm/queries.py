@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from alloyscreen.llm import bpe, fuzzy_lines, importance, line_rules, near_duplicates, oracles, packing, secret_scan, token_counts, token_files, vectors
+from alloyscreen.llm import bpe, fuzzy_lines, importance, license_scan, line_rules, near_duplicates, oracles, packing, secret_scan, token_counts, token_files, vectors
 from alloyscreen.session import run_folder
 
 
@@ -55,11 +55,15 @@ def op10_packing(spark, sf_dir):
     return packing.packed(_read(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_license_scan(spark, sf_dir):
+    return license_scan.licenses(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_byte_bpe, op2_importance, op3_line_rules, op4_token_counts, op5_secret_scan, op6_near_duplicates, op7_fuzzy_lines, op8_near_vectors,
-        op9_token_files, op10_packing,
+        op9_token_files, op10_packing, op12_license_scan,
     )
 }
-ORACLES: dict[str, str] = {"op3_line_rules": oracles.line_first(), "op5_secret_scan": oracles.scanned()}
+ORACLES: dict[str, str] = {"op3_line_rules": oracles.line_first(), "op5_secret_scan": oracles.scanned(), "op12_license_scan": license_scan.oracle()}
