@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from alloyscreen.llm import bpe, fuzzy_lines, importance, license_scan, line_rules, near_duplicates, oracles, packing, secret_scan, token_counts, token_files, vectors
+from alloyscreen.llm import alignment, bpe, fuzzy_lines, importance, lexical, license_scan, line_rules, near_duplicates, oracles, packing, secret_scan, token_counts, token_files, vectors
 from alloyscreen.session import run_folder
 
 
@@ -55,15 +55,23 @@ def op10_packing(spark, sf_dir):
     return packing.packed(_read(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_license_scan(spark, sf_dir):
     return license_scan.licenses(_read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return alignment.aligned(_read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"), tokenizers.PATTERN)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_byte_bpe, op2_importance, op3_line_rules, op4_token_counts, op5_secret_scan, op6_near_duplicates, op7_fuzzy_lines, op8_near_vectors,
-        op9_token_files, op10_packing, op12_license_scan,
+        op9_token_files, op10_packing, op11_ranked_search, op12_license_scan, op13_token_alignment,
     )
 }
-ORACLES: dict[str, str] = {"op3_line_rules": oracles.line_first(), "op5_secret_scan": oracles.scanned(), "op12_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op3_line_rules": oracles.line_first(), "op5_secret_scan": oracles.scanned(), "op11_ranked_search": lexical.oracle(), "op12_license_scan": license_scan.oracle()}
