@@ -95,6 +95,26 @@ def test_top_fractions(spark, formula, expected):
     assert top(df) == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("formula, expected", [
+    ("Ba(FeAs)2", (0.4, 0.4, 0.2)), ("Ca(OH)2", (0.4, 0.4, 0.2)), ("Fe2(SO4)3", (12 / 17, 3 / 17, 2 / 17)), ("(NH4)2SO4", (8 / 15, 4 / 15, 2 / 15)),
+    ("K4[Fe(CN)6]", (6 / 17, 6 / 17, 4 / 17)), ("{[(Al2)2]2Ti}0.5", (8 / 9, 1 / 9, 0)), ("(Fe0.5Co.5)2O", (1 / 3, 1 / 3, 1 / 3)), ("Al(TiAl)", (2 / 3, 1 / 3, 0)), ("(Al)0Ti", (1, 0, 0)),
+    ("((Al2)3(Ti)2)1.5Cu", (9 / 13, 3 / 13, 1 / 13)),
+])
+def test_bracketed_fractions(spark, formula, expected):
+    assert top(row_of(spark, formula=formula, elements=["Al", "Fe", "V"])) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("formula", ["Ca(OH", "CaOH)2", "(Al]2", "Al()2", "[(Al]2)3", ")Al(", "Al(2Ti)", "Al (Ti)", "(Xx)2", "(Al)0"])
+def test_unreadable_brackets_give_equal_shares(spark, formula):
+    assert top(row_of(spark, formula=formula, elements=["Al", "Fe", "V"])) == pytest.approx((1 / 3, 1 / 3, 1 / 3))
+
+
+def test_brackets_beside_flat_formulas(spark):
+    df = spark.createDataFrame([(1, "Ba(FeAs)2"), (2, "Al2Cu"), (3, None), (4, "Ca(OH)2")], "id int, formula string")
+    got = {r.id: r.n for r in composition.with_formula_amounts(df, "formula", "n").collect()}
+    assert got == {1: [1.0, 2.0, 2.0], 2: [2.0, 1.0], 3: None, 4: [1.0, 2.0, 2.0]}
+
+
 def test_top_fractions_without_anything(spark):
     df = row_of(spark, x=1)
     assert top(df) == [0.0, 0.0, 0.0]
