@@ -1,4 +1,5 @@
-"""Joins of materials with features, outcomes, elements and methods."""
+"""Joins of materials with features, outcomes, elements and methods. Many rows may share a formula, or lack one, so that joins by
+formula split hot keys."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from alloyscreen import refdata
 from alloyscreen.functions import composition
 from alloyscreen.functions.methods import method_scores
+from alloyscreen.operators.hot_joins import hot_join
 
 
 def join_features(features: DataFrame, raw: DataFrame, columns=("formula", "elements")) -> DataFrame:
@@ -16,11 +18,11 @@ def join_features(features: DataFrame, raw: DataFrame, columns=("formula", "elem
 
 
 def has_outcome(materials: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return materials.join(outcomes.select("formula").distinct(), "formula", "left_semi")
+    return hot_join(materials, outcomes.select("formula").distinct(), ["formula"], "left_semi")
 
 
 def no_outcome(materials: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return materials.join(outcomes.select("formula").distinct(), "formula", "left_anti")
+    return hot_join(materials, outcomes.select("formula").distinct(), ["formula"], "left_anti")
 
 
 def filter_by_outcome(materials: DataFrame, outcomes: DataFrame, status: str) -> DataFrame:
@@ -38,7 +40,7 @@ def enrich_outcomes(outcomes: DataFrame, results: DataFrame) -> DataFrame:
             F.struct("synthesizability_probability", "rule_probability", "energy_above_hull"), "material_id"
         ).alias("_first")
     )
-    joined = outcomes.drop("ml_pred", "llm_pred", "e_hull").join(first, "formula", "left")
+    joined = hot_join(outcomes.drop("ml_pred", "llm_pred", "e_hull"), first, ["formula"], "left")
     return joined.withColumns(
         {
             "ml_pred": F.col("_first.synthesizability_probability"),
@@ -51,12 +53,12 @@ def enrich_outcomes(outcomes: DataFrame, results: DataFrame) -> DataFrame:
 def map_net_benefit(materials: DataFrame, benefits: DataFrame) -> DataFrame:
     """``estimated_net_benefit`` by formula; of several benefits for a formula the last by id counts."""
     last = benefits.groupBy("formula").agg(F.max_by("net_benefit", "material_id").alias("estimated_net_benefit"))
-    return materials.join(last, "formula", "left")
+    return hot_join(materials, last, ["formula"], "left")
 
 
 def top_up(pool: DataFrame, candidates: DataFrame, shortfall: int, order: list) -> DataFrame:
     """Best candidates whose formula the pool lacks, as many as are short."""
-    return candidates.join(pool.select("formula").distinct(), "formula", "left_anti").orderBy(*order).limit(shortfall)
+    return hot_join(candidates, pool.select("formula").distinct(), ["formula"], "left_anti").orderBy(*order).limit(shortfall)
 
 
 def slot_properties(df: DataFrame, keep=("material_id",)) -> DataFrame:
