@@ -29,14 +29,11 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None = None) -> D
 
 def describe(df: DataFrame, fields: list[str]) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles and greatest value per field."""
-    long = ordered.melt_fields(df, fields)
-    basic = long.groupBy("field").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    figures = []
+    for f in fields:
+        x = F.col(f"`{f}`").cast("double")
+        figures.append(F.struct(F.lit(f).alias("field"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
+    basic = df.agg(F.array(*figures).alias("figures")).select(F.inline("figures"))
     # One row per field on both sides.
     return basic.join(F.broadcast(ordered.quantiles(df, fields, [0.25, 0.5, 0.75])), "field", "left")
 

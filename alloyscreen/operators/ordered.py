@@ -7,14 +7,16 @@ task sees more than one slice, whatever the distribution of the values.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alloyscreen.operators import narrowing
+from alloyscreen.operators.hot_joins import hot_join
 from alloyscreen.session import materialize
 
-HOT_ROWS = 100_000
-HOT_VALUES = 1_000
-
 
 def running_totals(distinct: DataFrame, value: str, measures: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``<measure>_upto`` (running total in ascending order of ``value``, own row included) and
@@ -50,20 +52,8 @@ def value_counts(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataF
 
 
 def attach_by_value(rows: DataFrame, table: DataFrame, value: str, count: str = "n") -> DataFrame:
-    """Left join of ``rows`` with one row per ``value``. The most frequent values are served by a broadcast of at most
-    ``HOT_VALUES`` rows, so that no join task receives all rows of a value that many rows share."""
-    extra = [c for c in table.columns if c not in (value, count)]
-    hot = table.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count)).limit(HOT_VALUES)
-    hot = hot.select(F.col(value).alias("_hot_value"), *[F.col(c).alias(f"_hot_{c}") for c in extra])
-    marked = rows.join(F.broadcast(hot), F.col(value) == F.col("_hot_value"), "left")
-    # Rows of hot values are spread over salts that match nothing on the other side. The salt depends on the row alone,
-    # so that a repeated task sends each row to the same place; exact copies of a row are left to AQE's skew split.
-    plain = [f.name for f in rows.schema.fields if f.dataType.simpleString() not in ("map", "variant")]
-    spread = F.when(F.col("_hot_value").isNotNull(), F.pmod(F.xxhash64(*plain), F.lit(1024)) + 1).otherwise(0)
-    marked = marked.withColumn("_salt", spread.cast("int"))
-    rest = table.select(value, F.lit(0).alias("_salt"), *extra)
-    joined = marked.join(rest, [value, "_salt"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in extra])
+    """Left join of ``rows`` with one row per ``value``; values that many rows share, and nulls, are dealt over many tasks."""
+    return hot_join(rows, table.drop(count), [value], "left").select(*[f"`{c}`" for c in rows.columns], *[c for c in table.columns if c not in (value, count)])
 
 
 def with_average_rank(df: DataFrame, score: str, rank: str, digits: int = 9) -> DataFrame:
@@ -75,21 +65,38 @@ def with_average_rank(df: DataFrame, score: str, rank: str, digits: int = 9) ->
     return attach_by_value(rounded, table, "_rank_key").drop("_rank_key")
 
 
-def with_row_rank(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
-    """Rank 1..n over the whole table in the given total order: a range sort, then the position inside each sorted
-    partition plus the rows of the partitions before it."""
-    ordered = materialize(df.orderBy(*order).withColumn("_position", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_position"), 33)
-    keyed = ordered.withColumn("_part", part)
-    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+def sort_columns(order: list[tuple[Column, bool]]) -> list[Column]:
+    """``orderBy`` columns of a list of (value, whether it falls)."""
+    return [F.desc(c) if falls else F.asc(c) for c, falls in order]
+
+
+def rank_index(df: DataFrame, order: list[tuple[Column, bool]], rank: str) -> DataFrame:
+    """``_order_0``.. (the values of ``order``) and the first rank of the rows with these values.
+
+    Only these values are sorted, written and numbered: the position inside each sorted partition plus the rows of the
+    partitions before it."""
+    names = [f"_order_{i}" for i in range(len(order))]
+    narrow = df.select(*[c.alias(n) for n, (c, _) in zip(names, order)])
+    narrow = materialize(narrow.orderBy(*sort_columns([(F.col(n), falls) for n, (_, falls) in zip(names, order)])).withColumn("_position", F.monotonically_increasing_id()))
+    keyed = narrow.withColumn("_part", F.shiftright("_position", 33))
+    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row per partition
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = F.col("_position").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        keyed.join(F.broadcast(offsets), "_part")
-        .withColumn(rank, F.col("_before") + inside + 1)
-        .drop("_position", "_part", "_before")
-    )
+    place = F.col("_before") + F.col("_position").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return keyed.join(F.broadcast(offsets), "_part").groupBy(*names).agg(F.min(place).alias(rank))
+
+
+def with_row_rank(df: DataFrame, order: list[tuple[Column, bool]], rank: str) -> DataFrame:
+    """Rank 1..n over the whole table in the given order, a list of (value, whether it falls). Rows equal in all values follow one another.
+
+    The ranks come from a narrow index; the rows themselves move once, to meet it, and are not written."""
+    index = rank_index(df, order, rank)
+    names = [f"_order_{i}" for i in range(len(order))]
+    own = df.withColumns({f"_own_{i}": c for i, (c, _) in enumerate(order)})
+    same = [F.col(f"_own_{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    met = own.join(index, functools.reduce(operator.and_, same))
+    repeated = F.row_number().over(Window.partitionBy(*names).orderBy(*names)) - 1
+    return met.withColumn(rank, F.col(rank) + repeated).select(*[f"`{c}`" for c in df.columns], rank)
 
 
 def melt_fields(df: DataFrame, fields: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,16 +107,10 @@ def melt_fields(df: DataFrame, fields: list[str], keep: tuple[str, ...] = ()) ->
 
 def quantiles(df: DataFrame, fields: list[str], probabilities: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per field, one column ``q<percent>`` per probability."""
-    totals = running_totals(value_counts(melt_fields(df, fields), "value", ("field",)), "value", ["n"], ("field",))
-    picks = []
-    for p in probabilities:
-        place = (F.col("n_total") - 1) * F.lit(float(p))
-        first = F.col("n_upto") - F.col("n")
-        low = F.max(F.when((first <= F.floor(place)) & (F.floor(place) < F.col("n_upto")), F.col("value")))
-        high = F.max(F.when((first <= F.ceil(place)) & (F.ceil(place) < F.col("n_upto")), F.col("value")))
-        share = F.max(place - F.floor(place))
-        picks.append((low + (high - low) * share).alias(quantile_name(p)))
-    return totals.groupBy("field").agg(*picks)
+    found = narrowing.quantile_values(df, fields, probabilities)
+    names = [quantile_name(p) for p in probabilities]
+    rows = [(f, *[found[f][p] for p in probabilities]) for f in fields if f in found]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["field string", *[f"{n} double" for n in names]]))
 
 
 def quantile_name(p: float) -> str:
@@ -118,17 +119,9 @@ def quantile_name(p: float) -> str:
 
 def ks_statistics(first: DataFrame, second: DataFrame, fields: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per field with the asymptotic p-value."""
-    tagged = melt_fields(first, fields).withColumn("side", F.lit(1)).unionByName(
-        melt_fields(second, fields).withColumn("side", F.lit(2))
-    )
-    sides = tagged.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(
-        F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")
-    )
-    totals = running_totals(sides, "value", ["a", "b"], ("field",))
-    gap = F.abs(F.col("a_upto") / F.col("a_total") - F.col("b_upto") / F.col("b_total"))
-    stat = totals.groupBy("field").agg(
-        F.max(gap).alias("ks_stat"), F.max("a_total").alias("n_first"), F.max("b_total").alias("n_second")
-    )
+    found = narrowing.greatest_gaps(first, second, fields)
+    rows = [(f, *found[f]) for f in fields if f in found]
+    stat = first.sparkSession.createDataFrame(rows, "field string, ks_stat double, n_first long, n_second long")
     return stat.withColumn("p_value", ks_p_value(F.col("ks_stat"), F.col("n_first"), F.col("n_second")))
 
 

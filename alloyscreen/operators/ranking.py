@@ -51,19 +51,30 @@ def with_final_score(df: DataFrame, probability: str = "ensemble_probability") -
     )
 
 
+def final_values() -> list:
+    """The values that decide the final order, each with whether it falls."""
+    return [(F.round("final_priority_score", 9), True), (F.col("material_id"), False)]
+
+
 def final_order() -> list:
-    return [F.desc(F.round("final_priority_score", 9)), F.col("material_id")]
+    return ordered.sort_columns(final_values())
 
 
 def final_rank(df: DataFrame) -> DataFrame:
-    return ordered.with_row_rank(with_final_score(df), final_order(), "final_priority_rank")
+    return ordered.with_row_rank(with_final_score(df), final_values(), "final_priority_rank")
+
+
+def safety_first_values() -> list:
+    rounded = [F.round(c, 9) for c in ("composite_priority_score", "ensemble_confidence")]
+    return [(F.col("safety_rating"), True), *[(c, True) for c in rounded], (F.col("material_id"), False)]
 
 
 def safety_first_order() -> list:
-    return [
-        F.desc("safety_rating"), F.desc(F.round("composite_priority_score", 9)), F.desc(F.round("ensemble_confidence", 9)),
-        F.col("material_id"),
-    ]
+    return ordered.sort_columns(safety_first_values())
+
+
+def safety_first_rank(df: DataFrame) -> DataFrame:
+    return ordered.with_row_rank(df, safety_first_values(), "safety_first_rank")
 
 
 def safety_first_sort(df: DataFrame) -> DataFrame:

@@ -20,8 +20,7 @@ def test_average_rank(spark):
     assert {r["material_id"]: r["rank"] for r in ordered.with_average_rank(df, "s", "rank").collect()} == {"a": 4, "b": 2, "c": 2, "d": 1}
 
 
-def test_average_rank_with_a_hot_value(spark, values, monkeypatch):
-    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+def test_average_rank_with_a_hot_value(spark, values):
     df = spark.createDataFrame(values, "material_id string, s double")
     got = {r["material_id"]: r["rank"] for r in ordered.with_average_rank(df, "s", "rank").collect()}
     frame = pd.DataFrame(values, columns=["id", "s"])
@@ -30,10 +29,25 @@ def test_average_rank_with_a_hot_value(spark, values, monkeypatch):
 
 def test_row_rank(spark, values):
     df = spark.createDataFrame(values, "material_id string, s double")
-    got = [r["material_id"] for r in ordered.with_row_rank(df, [F.desc("s"), F.col("material_id")], "place").orderBy("place").collect()]
+    got = [r["material_id"] for r in ordered.with_row_rank(df, [(F.col("s"), True), (F.col("material_id"), False)], "place").orderBy("place").collect()]
     assert got == [i for i, _ in sorted(values, key=lambda v: (-v[1], v[0]))]
 
 
+def test_row_rank_of_nulls_and_equal_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 2.0), ("b", None), (None, None), ("a", 1.0)], "k string, s double")
+    got = sorted((r.place, r.s, r.k) for r in ordered.with_row_rank(df, [(F.col("s"), True), (F.col("k"), False)], "place").collect())
+    assert got == [(1, 2.0, None), (2, 1.0, "a"), (3, 1.0, "a"), (4, 1.0, "a"), (5, None, None), (6, None, "b")]
+
+
+def test_row_rank_writes_only_the_order(spark, values, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ordered, "materialize", lambda df: kept.append(df.columns) or df.checkpoint())
+    wide = spark.createDataFrame(values, "material_id string, s double").withColumn("payload", F.repeat(F.lit("x"), 50))
+    ranked = ordered.with_row_rank(wide, [(F.col("s"), True), (F.col("material_id"), False)], "place")
+    assert ranked.count() == len(values) and ranked.columns == ["material_id", "s", "payload", "place"]
+    assert kept == [["_order_0", "_order_1", "_position"]]
+
+
 def test_quantiles_equal_numpy(spark, values):
     df = spark.createDataFrame([(v,) for _, v in values] + [(None,)], "s double")
     row = ordered.quantiles(df, ["s"], [0.0, 0.25, 0.5, 0.95, 1.0]).first()
