@@ -13,18 +13,18 @@ from alloyscreen.session import materialize
 from alloyscreen.sources import scans
 
 VOCABULARY_MAX = 200
-NO_ELEMENT = "None"
+NO_ELEMENT, OTHER_ELEMENT = "None", "Other"
 
 
-def one_hot_slots(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def one_hot_slots(df: DataFrame, most: int = VOCABULARY_MAX) -> tuple[DataFrame, list[str]]:
     """0/1 columns per slot and element over one shared vocabulary; an empty slot counts as ``None``.
 
-    The vocabulary (at most the known elements and ``None``) comes back to the driver because it names columns."""
+    The vocabulary comes back to the driver because it names columns: the ``most`` most frequent symbols (of equal ones the first
+    by name). If there are more, the others share one column per slot, ``Other``."""
     names = [F.coalesce(column_or(df, f"element_{i}", None).cast("string"), F.lit(NO_ELEMENT)) for i in composition.SLOTS]
-    seen = df.select(F.explode(F.array(*names)).alias("e")).distinct().limit(VOCABULARY_MAX + 1)
-    vocabulary = sorted(r["e"] for r in seen.collect())
-    if len(vocabulary) > VOCABULARY_MAX:
-        raise ValueError(f"more than {VOCABULARY_MAX} distinct element symbols; clean the element columns first")
+    counted = df.select(F.explode(F.array(*names)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    seen = counted.orderBy(F.desc("n"), "e").limit(most + 1).collect()
+    vocabulary = sorted(r["e"] for r in seen[:most])
     filled = df.withColumns(
         {
             **{f"element_{i}": n for i, n in zip(composition.SLOTS, names)},
@@ -34,6 +34,8 @@ def one_hot_slots(df: DataFrame) -> tuple[DataFrame, list[str]]:
     hot = {
         f"element_{i}_{e}": F.when(F.col(f"element_{i}") == e, 1).otherwise(0) for i in composition.SLOTS for e in vocabulary
     }
+    if len(seen) > most:
+        hot |= {f"element_{i}_{OTHER_ELEMENT}": F.when(F.col(f"element_{i}").isin(vocabulary), 0).otherwise(1) for i in composition.SLOTS}
     return filled.withColumns(hot), list(hot)
 
 
@@ -72,6 +74,9 @@ FEATURE_FIELDS = [
     "energy_above_hull", "formation_energy_per_atom", "nsites",
 ]
 
+#: Those that come with the material; the others are derived from its elements and formula.
+MEASURED_FIELDS = ["density", "band_gap", "energy_above_hull", "formation_energy_per_atom", "nsites"]
+
 
 def ml_features(raw: DataFrame) -> DataFrame:
     """Classifier features of raw materials (with ``material_id``): element means, composition fractions, numbers with
@@ -79,15 +84,17 @@ def ml_features(raw: DataFrame) -> DataFrame:
     base = raw if "nsites" in raw.columns else raw.withColumn("nsites", F.lit(8))
     derived = base.transform(aggregates.element_means).transform(composition.with_top_fractions)
     numbers = cleaning.coerce_numeric(derived.select("material_id", *FEATURE_FIELDS), FEATURE_FIELDS)
-    return mapping.cast_required(cleaning.mean_impute(numbers, FEATURE_FIELDS), schema.CLASSIFIER_FIELDS)
+    # derived fields are never null: the pass for the means reads measured fields only and parses no formula
+    return mapping.cast_required(cleaning.mean_impute(numbers, MEASURED_FIELDS), schema.CLASSIFIER_FIELDS)
 
 
-def training_dataset(materials: DataFrame, n_materials: int = 500, energy_above_hull_max: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(features, raw rows) of the default element pairs, at most ``max(20, n/15)`` rows per pair.
+def training_dataset(materials: DataFrame, n_materials: int | None = None, energy_above_hull_max: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(features, raw rows) of the default element pairs: all of them, or with ``n_materials`` at most ``max(20, n/15)`` rows per pair.
 
-    The few chosen rows are written out, so that the means, the joins and the fits that follow do not scan the whole
+    The chosen rows are written out, so that the means, the joins and the fits that follow do not scan the whole
     materials table again."""
-    raw = materialize(scans.training_scan(materials, None, max(20, n_materials // 15), energy_above_hull_max))
+    limit = None if n_materials is None else max(20, n_materials // 15)
+    raw = materialize(scans.training_scan(materials, None, limit, energy_above_hull_max))
     return ml_features(raw), raw
 
 

@@ -14,16 +14,16 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alloyscreen.functions.basics import clip
 from alloyscreen.functions.ensemble import with_decision
-from alloyscreen.operators import cleaning, features as feature_ops, mapping, metrics, novelty, sampling
+from alloyscreen.operators import aggregates, cleaning, features as feature_ops, isotonic, mapping, metrics, novelty, sampling
 from alloyscreen.session import materialize
 
 LABEL = "synthesizable"
@@ -55,15 +55,18 @@ class ScreeningModel:
     medians: dict[str, float]
     model: PipelineModel
     calibration: str
-    calibrator: IsotonicRegressionModel | LogisticRegressionModel | None
+    calibrator: DataFrame | LogisticRegressionModel | None
     threshold: float
     curve: DataFrame
     train: DataFrame
     metrics: dict
+    distance: novelty.Novelty | None = None
 
     def save(self, path: str) -> None:
         self.model.write().save(f"{path}/model")
-        if self.calibrator is not None:
+        if isinstance(self.calibrator, DataFrame):
+            self.calibrator.write.parquet(f"{path}/calibrator")
+        elif self.calibrator is not None:
             self.calibrator.write().save(f"{path}/calibrator")
         self.curve.write.parquet(f"{path}/curve")
         self.train.write.parquet(f"{path}/train")
@@ -77,8 +80,8 @@ class ScreeningModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ScreeningModel:
         s = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
-        kinds = {"isotonic": IsotonicRegressionModel, "platt": LogisticRegressionModel}
-        calibrator = kinds[s["calibration"]].load(f"{path}/calibrator") if s["calibration"] in kinds else None
+        kinds = {"isotonic": spark.read.parquet, "platt": LogisticRegressionModel.load}
+        calibrator = kinds[s["calibration"]](f"{path}/calibrator") if s["calibration"] in kinds else None
         return cls(
             s["features"], {k: tuple(v) for k, v in s["scale"].items()}, s["medians"], PipelineModel.load(f"{path}/model"),
             s["calibration"], calibrator, s["threshold"], spark.read.parquet(f"{path}/curve"),
@@ -99,12 +102,12 @@ def _calibrated(df: DataFrame, calibration: str, calibrator) -> DataFrame:
         out = calibrator.transform(VectorAssembler(inputCols=["_raw"], outputCol="_raw_vector").transform(df))
         out = out.withColumn("synthesizability_probability", vector_to_array("probability")[1])
         return out.drop("_raw_vector", "rawPrediction", "probability", "prediction")
-    out = calibrator.transform(df)
-    return out.withColumn("synthesizability_probability", clip(F.col("prediction"), 0.0, 1.0)).drop("prediction")
+    out = isotonic.calibrated(df, calibrator, "_raw", "synthesizability_probability")
+    return out.withColumn("synthesizability_probability", clip(F.col("synthesizability_probability"), 0.0, 1.0))
 
 
-def fit_isotonic(df: DataFrame) -> IsotonicRegressionModel:
-    return IsotonicRegression(featuresCol="_raw", labelCol=LABEL).fit(df.select("_raw", F.col(LABEL).cast("double")))
+def fit_isotonic(df: DataFrame) -> DataFrame:
+    return materialize(isotonic.fit_isotonic(df, "_raw", LABEL))
 
 
 def fit_platt(df: DataFrame) -> LogisticRegressionModel:
@@ -155,7 +158,8 @@ def fit(
     quality.update(metrics.calibration_metrics(judged, LABEL, "synthesizability_probability").first().asDict())
     curve = materialize(metrics.reliability_curve(judged, LABEL, "synthesizability_probability"))
     held_train = train.select("material_id", *features)
-    return ScreeningModel(features, scale, medians, model, calibration, calibrator, chosen, curve, held_train, quality)
+    distance = novelty.fit_novelty(held_train, features)
+    return ScreeningModel(features, scale, medians, model, calibration, calibrator, chosen, curve, held_train, quality, distance)
 
 
 def recalibrate(fitted: ScreeningModel, table: DataFrame, method: str) -> ScreeningModel:
@@ -178,7 +182,7 @@ def score_batch(materials: DataFrame, fitted: ScreeningModel, key: str = "materi
     scored = with_decision(scored, fitted.threshold)
     scored = metrics.with_calibration_status(scored, fitted.curve)
     if with_distance:
-        scored = novelty.with_novelty(scored, fitted.train, fitted.features, key)
+        scored = novelty.with_fitted_novelty(scored, fitted.distance or novelty.fit_novelty(fitted.train, fitted.features))
     return scored
 
 
@@ -190,17 +194,18 @@ def train(materials: DataFrame, n_materials: int = 1000, tertiary: bool | None =
 
 
 def cross_validate(table: DataFrame, features: list[str], folds: int = 5, kind: str = "random_forest", **settings) -> dict:
-    """Mean and deviation of the accuracy over hash-assigned folds, with scaling inside each fold."""
+    """Mean and deviation of the accuracy over hash-assigned folds. Medians for nulls and the scaling are fitted inside each fold."""
     smallest = min(sampling.class_counts(table, LABEL).values())
     folds = min(folds, smallest)
     if folds < 2:
         return {"cv_mean": None, "cv_std": None}
-    data = materialize(
-        table.select(LABEL, (sampling.id_bucket() % folds).alias("fold"), F.lit(1.0).alias("class_weight"), *features)
-    )
+    numbers = [F.col(f).cast("double").alias(f) for f in features]
+    data = materialize(table.select(LABEL, (sampling.id_bucket() % folds).alias("fold"), F.lit(1.0).alias("class_weight"), *numbers))
+    filled = [f"_filled_{f}" for f in features]
     pipeline = Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="_assembled", handleInvalid="skip"),
+            Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=0.0),
+            VectorAssembler(inputCols=filled, outputCol="_assembled"),
             StandardScaler(inputCol="_assembled", outputCol="features", withMean=True),
             classifier(kind, **settings),
         ]
@@ -221,19 +226,22 @@ def fold_spread(mean: float, std: float) -> dict:
 
 
 def compare_modes(table: DataFrame, **settings) -> DataFrame:
-    """Test metrics with and without composition features, and their difference from the run without."""
+    """Test and cross-validation metrics with and without composition features, their difference from the run without, and how many
+    rows have a third component."""
     spark = table.sparkSession
+    coverage = aggregates.tertiary_coverage(table).first()
     rows = []
     for mode, tertiary in (("binary-only", False), ("tertiary-enabled", True)):
         columns = feature_ops.feature_set(table, tertiary)
         m = fit(table, columns, **settings).metrics
-        rows.append((mode, len(columns), ", ".join(columns), m["accuracy"], m["precision"], m["recall"], m["f1_score"]))
+        folds = cross_validate(table, columns, **settings)
+        rows.append((mode, len(columns), ", ".join(columns), m["accuracy"], m["precision"], m["recall"], m["f1_score"], folds["cv_mean"], folds["cv_std"]))
     base = rows[0]
-    rows = [(*r, r[6] - base[6], r[3] - base[3]) for r in rows]
+    rows = [(*r, coverage["tertiary_rows"], coverage["tertiary_fraction"], r[6] - base[6], r[3] - base[3]) for r in rows]
     return spark.createDataFrame(
         rows,
-        "mode string, feature_count int, feature_columns string, accuracy double, precision double, recall double, "
-        "f1_score double, delta_vs_binary_f1 double, delta_vs_binary_accuracy double",
+        "mode string, feature_count int, feature_columns string, accuracy double, precision double, recall double, f1_score double, cv_mean double, "
+        "cv_std double, tertiary_rows long, tertiary_fraction double, delta_vs_binary_f1 double, delta_vs_binary_accuracy double",
     )
 
 
