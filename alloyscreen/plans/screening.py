@@ -55,9 +55,10 @@ def safety_first(materials: DataFrame) -> DataFrame:
     )
 
 
-def safety_first_pool(materials: DataFrame, top: int = 5, confidence: float = 0.60, minimum: int = 10) -> DataFrame:
-    """Candidate pool whose net benefits come from the ``top`` best candidates."""
+def safety_first_pool(materials: DataFrame, top: int | None = None, confidence: float = 0.60, minimum: int = 10) -> DataFrame:
+    """Candidate pool by the net benefits of all candidates, or of the ``top`` best alone."""
     ranked = safety_first(materials)
-    best = ranking.top_n(ranked, top, ranking.final_order()).transform(methods.with_simple_cost_benefit)
+    best = ranked if top is None else ranking.top_n(ranked, top, ranking.final_order())
+    best = best.transform(methods.with_simple_cost_benefit)
     benefits = best.select("formula", "material_id", F.col("simple_net_benefit").alias("net_benefit"))
     return ranking.candidate_pool(ranked, benefits, confidence, minimum)

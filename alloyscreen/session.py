@@ -49,6 +49,28 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end; any store that Spark writes to will do."""
+    place, store = _place(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return store.exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    place, store = _place(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()] if store.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the copy, so that lost executors cannot change it."""
     shared_folder(df.sparkSession)

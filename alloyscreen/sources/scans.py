@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alloyscreen import refdata, schema
@@ -58,10 +58,10 @@ def summary_scan(
     band_gap_max: float | None = None,
     energy_above_hull_max: float | None = 0.1,
     nsites_max: int | None = 20,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Filtered summary of a materials table; comparisons reach the file scan. With ``limit`` the first ids are kept."""
-    out = materials.select(*[c for c in SUMMARY_FIELDS if c in materials.columns])
+    out = materials
     for element in elements or []:
         out = out.filter(F.array_contains("elements", element))
     bounds = [("band_gap", ">=", band_gap_min), ("band_gap", "<=", band_gap_max),
@@ -69,40 +69,52 @@ def summary_scan(
     for column, sign, value in bounds:
         if value is not None:
             out = out.filter(F.col(column) >= value if sign == ">=" else F.col(column) <= value)
+    out = summarised(out)
+    return out.orderBy("material_id").limit(limit) if limit is not None else out
+
+
+def summarised(materials: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The summary fields that are there, texts as numbers, under their usual names, and the columns ``more``."""
+    out = materials.select(*[c for c in SUMMARY_FIELDS if c in materials.columns], *more)
     numeric = ["volume", "density", "density_atomic", "band_gap", "energy_above_hull", "formation_energy_per_atom", "total_magnetization"]
     out = out.withColumns({c: number(F.col(c)) for c in numeric if c in out.columns and dict(out.dtypes)[c] == "string"})
-    out = out.withColumnsRenamed({k: v for k, v in SUMMARY_NAMES.items() if k in out.columns})
-    return out.orderBy("material_id").limit(limit) if limit is not None else out
+    return out.withColumnsRenamed({k: v for k, v in SUMMARY_NAMES.items() if k in out.columns})
+
+
+def listed_pairs(pairs: list[tuple[str, str]]) -> Column:
+    return F.array(
+        *[
+            F.struct(F.lit(i).alias("pair_index"), F.lit(a).alias("element_1"), F.lit(b).alias("element_2"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+
+
+def matching_pairs(pairs: list[tuple[str, str]]) -> Column:
+    """The pairs of which a row's ``elements`` hold both. A row meets its pairs through a literal array, without a join."""
+    both = lambda p: F.array_contains(F.col("elements"), p["element_1"]) & F.array_contains(F.col("elements"), p["element_2"])
+    return F.filter(listed_pairs(pairs), both)
 
 
 def pair_scan(
     materials: DataFrame,
     pairs: list[tuple[str, str]] | None = None,
-    limit_per_pair: int = 50,
+    limit_per_pair: int | None = None,
     energy_above_hull_max: float = 0.05,
     nsites_max: int = 10,
 ) -> DataFrame:
-    """First materials of each element pair, tagged with the pair; a material of several pairs keeps its first pair.
-
-    A row meets its pairs through a literal array of the pairs, so the scan needs no join."""
-    pairs = pairs or refdata.ALLOY_PAIRS
-    listed = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair_index"), F.lit(a).alias("element_1"), F.lit(b).alias("element_2"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
+    """Materials of the element pairs, tagged with the pair; a material of several pairs keeps its first pair, of rows with one
+    ``material_id`` one stays. ``limit_per_pair`` keeps the first materials of each pair only."""
     kept = summary_scan(materials, energy_above_hull_max=energy_above_hull_max, nsites_max=nsites_max, limit=None)
-    matching = F.filter(
-        listed, lambda p: F.array_contains(F.col("elements"), p["element_1"]) & F.array_contains(F.col("elements"), p["element_2"])
-    )
-    tagged = kept.select("*", F.inline(matching))
-    few = ranking.top_per_group(tagged, ["pair_index"], [F.col("material_id")], limit_per_pair)
-    # At most pairs x limit_per_pair rows from here on.
-    return cleaning.dedupe(few, "material_id", [F.col("pair_index")]).withColumn("alloy_type", F.lit("binary")).drop("pair_index")
+    matching = matching_pairs(pairs or refdata.ALLOY_PAIRS)
+    if limit_per_pair is None:
+        tagged = kept.select("*", F.inline(F.slice(matching, 1, 1)))
+    else:
+        tagged = ranking.top_per_group(kept.select("*", F.inline(matching)), ["pair_index"], [F.col("material_id")], limit_per_pair)
+    return cleaning.dedupe(tagged, "material_id", [F.col("pair_index")]).withColumn("alloy_type", F.lit("binary")).drop("pair_index")
 
 
-def training_scan(materials: DataFrame, pairs=None, limit_per_pair: int = 50, energy_above_hull_max: float = 0.5) -> DataFrame:
+def training_scan(materials: DataFrame, pairs=None, limit_per_pair: int | None = None, energy_above_hull_max: float = 0.5) -> DataFrame:
     """``pair_scan`` over a wider stability range."""
     return pair_scan(materials, pairs, limit_per_pair, energy_above_hull_max)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alloyscreen import schema
 from alloyscreen.functions import composition, methods, safety
 from alloyscreen.functions.basics import column_or
 from alloyscreen.operators import ranking
+from alloyscreen.session import finished, folders
 from alloyscreen.sources.scans import conform
 
 
@@ -125,7 +127,31 @@ def write_intake_package(pool: DataFrame, path: str, size: int = 100, confidence
     intake_manifest(package, confidence).write.mode("error").json(f"{path}/manifest")
 
 
-def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Adds outcomes to the log as new files; the log itself is not rewritten."""
+def append_outcomes(outcomes: DataFrame, path: str, batch: str | None = None) -> str:
+    """Adds a batch of outcomes to the log and returns the batch's name; the log itself is not rewritten.
+
+    A batch has a folder of its own. One that is there to its end is not added again, one whose writing was cut off is
+    written anew, so that a repeated call adds nothing. Without a name the batch is named by its rows: the same rows are the same
+    batch. If the outcomes have an ``outcome_id``, ids that other batches of the log hold are left out, and of equal ids in
+    the batch one row stays; null ids are always added."""
+    spark = outcomes.sparkSession
+    if batch is None:
+        rows = F.xxhash64(*[F.col(f"`{c}`") for c in outcomes.columns])
+        told = outcomes.agg(F.count(F.lit(1)), F.coalesce(F.sum(rows.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(rows, F.lit(1))), F.lit(0))).first()
+        batch = "-".join(str(x) for x in told).replace("--", "-n")
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    if finished(spark, folder):
+        return batch
     stamped = outcomes if "attempted_date" in outcomes.columns else outcomes.withColumn("attempted_date", F.current_timestamp())
-    conform(stamped, schema.OUTCOME_SCHEMA).write.mode("append").parquet(path)
+    own = conform(stamped, schema.OUTCOME_SCHEMA)
+    if "outcome_id" in outcomes.columns:
+        own = conform(stamped, T.StructType([T.StructField("outcome_id", T.LongType()), *schema.OUTCOME_SCHEMA.fields]))
+        named = own.filter("outcome_id IS NOT NULL").dropDuplicates(["outcome_id"])
+        others = [f for f in folders(spark, path) if f.startswith("batch=") and f != f"batch={batch}" and finished(spark, f"{path.rstrip('/')}/{f}")]
+        if others:
+            # of the log, only the ids are read
+            log = spark.read.schema("outcome_id long").parquet(*[f"{path.rstrip('/')}/{f}" for f in others])
+            named = named.join(log.filter("outcome_id IS NOT NULL"), "outcome_id", "left_anti")
+        own = named.unionByName(own.filter("outcome_id IS NULL"))
+    own.write.mode("overwrite").parquet(folder)
+    return batch

@@ -12,8 +12,17 @@ from alloyscreen.plans import screening
 from alloyscreen.functions import safety
 
 
-def read_stream(spark: SparkSession, folder: str, table_schema: StructType, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(table_schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_stream(
+    spark: SparkSession, folder: str, table_schema: StructType, pattern: str = "*.parquet", files: int | None = None, size: str | None = None
+) -> DataFrame:
+    """Files as they arrive. ``files`` or ``size`` (such as ``10g``) bound what one batch takes on, so that a long backlog is
+    worked off in steps of that size."""
+    reader = spark.readStream.schema(table_schema).option("pathGlobFilter", pattern)
+    bounds = {"maxFilesPerTrigger": files, "maxBytesPerTrigger": size}
+    for name, bound in bounds.items():
+        if bound is not None:
+            reader = reader.option(name, bound)
+    return reader.parquet(folder)
 
 
 def distinct_outcomes(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -42,7 +51,9 @@ def append_to(stream: DataFrame, path: str, progress: str) -> StreamingQuery:
 
 
 def refresh_metrics(log: DataFrame) -> DataFrame:
-    """Validation metrics, calibration error and recent hit rate of the whole log: three one-row tables side by side."""
+    """Validation metrics, calibration error and recent hit rate of the whole log: three one-row tables side by side.
+
+    ``outcome_state`` keeps the same figures up to date without reading the log."""
     calibration = metrics.outcome_calibration(log).select("calibration_error").scalar()
     recent = ranking.last_hit_rate(log).select("hit_rate_last_10").scalar()
     return metrics.validation_metrics(log).withColumns({"calibration_error": calibration, "hit_rate_last_10": recent})
