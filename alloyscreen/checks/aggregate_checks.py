@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from alloyscreen.checks.core import check, full, outcomes, r, raw, rounded, scored
 from alloyscreen.functions import methods, safety
-from alloyscreen.operators import aggregates, bootstrap, metrics, ordered, ranking, sampling
+from alloyscreen.operators import aggregates, bootstrap, isotonic, metrics, ordered, ranking, sampling
 
 PROPERTIES = ["energy_above_hull", "density", "electronegativity", "atomic_radius", "band_gap"]
 
@@ -214,12 +214,55 @@ def ks_two_sample(spark, d):
     return rounded(out.drop("p_value"))
 
 
-@check("ks_bootstrap")
-def ks_bootstrap(spark, d):
+_CDF = "[" + ", ".join("[" + ", ".join(f"CAST({p!r} AS DOUBLE)" for p in row) + "]" for row in bootstrap.poisson_table()) + "]"
+_UNIFORM = "(CAST(CAST(concat('0x', substr(h, {start}, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496"
+_KOLMOGOROV = " + ".join(f"({2.0 * (-1) ** (k - 1)}) * exp({-2.0 * k * k} * x * x)" for k in range(1, 21))
+BOOTSTRAP = f"""(SELECT field, avg(p) AS mean_p, 1 - stddev_pop(p) AS p_stability, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high FROM (
+    SELECT field, CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, {_KOLMOGOROV})) END AS p FROM (SELECT field, replicate, max(abs(sa / na - sb / nb)) * sqrt(any_value(na) * any_value(nb) / (any_value(na) + any_value(nb))) AS x FROM (
+    SELECT field, replicate, CAST(sum(a) OVER w AS DOUBLE) AS sa, CAST(sum(b) OVER w AS DOUBLE) AS sb, CAST(sum(a) OVER (PARTITION BY field, replicate) AS DOUBLE) AS na, CAST(sum(b) OVER (PARTITION BY field, replicate) AS DOUBLE) AS nb FROM (
+    SELECT *, CASE WHEN n = 0 THEN 0 WHEN n <= {bootstrap.TABLE_RATE} THEN len(list_filter(list_extract({_CDF}, CAST(n AS INT)), lambda q: q <= u1)) ELSE greatest(0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5)) END AS b FROM (
+    SELECT *, sqrt(-2 * ln(u1)) * cos(u2 * 2 * pi()) AS z FROM (SELECT *, {_UNIFORM.format(start=1)} AS u1, {_UNIFORM.format(start=14)} AS u2 FROM (
+    SELECT *, md5(concat_ws('|', field, CAST(CAST(value AS DECIMAL(38, 12)) AS VARCHAR), CAST(replicate + 42000000 AS VARCHAR))) AS h FROM (SELECT *, unnest(generate_series(1, 100)) AS replicate FROM (
+    {" UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, count(*) FILTER (WHERE composition_3 = 0) AS a, count(*) FILTER (WHERE composition_3 > 0) AS n FROM materials GROUP BY 2" for c in KS_FIELDS)})))))) WINDOW w AS (PARTITION BY field, replicate ORDER BY value))
+    GROUP BY field, replicate)) GROUP BY field)"""
+
+
+def _bootstrap(spark, d):
     table = raw(spark, d)
     return bootstrap.ks_bootstrap(table.filter("composition_3 = 0"), table.filter("composition_3 > 0"), KS_FIELDS)
 
 
+@check("ks_bootstrap", f"""SELECT field, {r('mean_p', 'mean_p_value', 7)}, {r('p_stability', 'p_stability', 7)}, {r('ci_low', 'ci_low', 7)}, {r('ci_high', 'ci_high', 7)},
+    CASE WHEN mean_p > 0.05 THEN 'good' ELSE 'poor' END AS distribution_similarity FROM {BOOTSTRAP}""")
+def ks_bootstrap(spark, d):
+    return rounded(_bootstrap(spark, d), 7)
+
+
+@check("ks_bootstrap_overall", f"""SELECT {r('stability', 'average_stability', 7)}, good_matches, fields, CASE WHEN stability > 0.8 AND good_matches >= 3 THEN 'high' WHEN stability > 0.6 AND good_matches >= 2 THEN 'moderate' ELSE 'low' END AS robustness
+    FROM (SELECT avg(p_stability) AS stability, count(*) FILTER (WHERE mean_p > 0.05) AS good_matches, count(*) AS fields FROM {BOOTSTRAP})""")
+def ks_bootstrap_overall(spark, d):
+    return rounded(bootstrap.overall_assessment(_bootstrap(spark, d)), 7)
+
+
+# The fit as greatest of least means: over all runs of scores that begin at or before a score and end at or after it.
+FIT = """(SELECT x, value, lead(x) OVER (ORDER BY x) AS next_x, lead(value) OVER (ORDER BY x) AS next_value FROM (SELECT x, max(lowest) AS value FROM (
+    SELECT b.x AS x, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS lowest FROM {scores} a JOIN {scores} b ON a.x <= b.x) GROUP BY x))""".replace(
+    "{scores}", """(SELECT x, n, s, CAST(sum(n) OVER (ORDER BY x) AS DOUBLE) AS cn, CAST(sum(s) OVER (ORDER BY x) AS DOUBLE) AS cs FROM (SELECT synthesizability_probability AS x, count(*) AS n, count(*) FILTER (WHERE energy_above_hull <= 0.025) AS s
+    FROM materials WHERE energy_above_hull <= 0.025 OR energy_above_hull >= 0.1 GROUP BY 1))""")
+
+
+@check("isotonic_fit", f"""SELECT x AS score, {r('value', 'calibrated')}, {r('CASE WHEN next_x IS NULL THEN value ELSE value + (next_value - value) * least(1, (x + 0.0004 - x) / (next_x - x)) END', 'between', 7)} FROM {FIT}""")
+def isotonic_fit(spark, d):
+    """The fitted value at each score, held by every task, and a little above it, by range slices."""
+    from alloyscreen.functions.stability import label_stability
+
+    table = label_stability(raw(spark, d), "label").select("synthesizability_probability", "label")
+    blocks = isotonic.fit_isotonic(table, "synthesizability_probability", "label", slices=16)
+    asked = table.select(F.col("synthesizability_probability").alias("score")).distinct().withColumn("above", F.col("score") + 0.0004)
+    out = isotonic.calibrated(isotonic.calibrated(asked, blocks, "score", "calibrated"), blocks, "above", "between", held_blocks=0)
+    return out.select("score", F.round("calibrated", 9).alias("calibrated"), F.round("between", 7).alias("between"))
+
+
 NOVEL_FIELDS = ["density", "electronegativity", "atomic_radius"]
 RANGE_SQL = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in NOVEL_FIELDS)
 

@@ -203,7 +203,8 @@ CTES["simple_costed"] = CTES["route_costed"].replace("FROM route)", "FROM full_m
 PAIR_ROWS = CTES.pop("pair_rows")
 CTES["train_rows"] = PAIR_ROWS.format(limit=66)
 CTES["dataset_rows"] = PAIR_ROWS.format(limit=33)
-CTES["pair_50"] = PAIR_ROWS.replace("<= 0.5 AND", "<= 0.05 AND").format(limit=50)
+CTES["pair_all"] = PAIR_ROWS.replace("<= 0.5 AND", "<= 0.05 AND").replace("k <= {limit}", "true")
+CTES["pair_train_all"] = PAIR_ROWS.replace("k <= {limit}", "true")
 CTES["pair_train_50"] = PAIR_ROWS.format(limit=50)
 # Classifier features of a set of pair rows: element means, three largest fractions, means for nulls.
 FEATURES = """SELECT material_id, composition_1, composition_2, composition_3, density, electronegativity, atomic_radius,
@@ -216,6 +217,7 @@ FEATURES = """SELECT material_id, composition_1, composition_2, composition_3, d
         composition_1 + composition_2 + composition_3 AS total FROM {source}) t)"""
 CTES["train_features"] = FEATURES.format(source="train_rows")
 CTES["dataset_features"] = FEATURES.format(source="dataset_rows")
+CTES["pair_features"] = FEATURES.format(source="pair_train_all")
 CTES["alloy_raw"] = """SELECT material_id, formula AS formula_pretty, element_1 AS elem_1, element_2 AS elem_2, element_3 AS elem_3,
       composition_1 AS comp_1, composition_2 AS comp_2, composition_3 AS comp_3, formation_energy_per_atom AS formation_energy,
       energy_above_hull AS e_above_hull, energy_above_hull + 1 AS stability_energy,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from alloyscreen import refdata
 from alloyscreen.checks.core import by_hull_sql, check, formula_sql, full, quoted, r, raw, rounded, scored
-from alloyscreen.functions import composition, ensemble, methods, safety, stability
+from alloyscreen.functions import basics, composition, ensemble, methods, safety, stability
 from alloyscreen.plans import candidates
 from alloyscreen.operators import aggregates
 
@@ -122,6 +122,16 @@ def formula_fractions(spark, d):
     return rounded(out.select("material_id", "composition_1", "composition_2", "composition_3"))
 
 
+@check("bracketed_fractions", FRACTIONS + """ FROM (SELECT material_id, list_sum(c) AS total, c FROM (SELECT material_id,
+    list_sort([CAST(nsites AS DOUBLE), nsites % 4 + 1, (nsites % 3 + 2) * (nsites % 4 + 1), 1.5, 3 * (nsites % 3 + 2)], 'DESC') AS c FROM full_materials))""")
+def bracketed_fractions(spark, d):
+    """Formulas with a group and a nested group, such as ``Fe7(NiO3)4[H(N2)3]1.5``."""
+    few, more = (F.col("nsites") % 3 + 2).cast("string"), (F.col("nsites") % 4 + 1).cast("string")
+    text = F.concat("element_1", F.col("nsites").cast("string"), F.lit("("), "element_2", F.lit("O"), few, F.lit(")"), more, F.lit("[H(N2)"), few, F.lit("]1.5"))
+    out = composition.with_top_fractions(full(spark, d).select("material_id", text.alias("formula")))
+    return rounded(out.select("material_id", "composition_1", "composition_2", "composition_3"))
+
+
 @check("clamp_composition", f"SELECT material_id, {r('least(greatest(composition_1, 0.1), 0.9)', 'composition_1')}, {r('1 - least(greatest(composition_1, 0.1), 0.9)', 'composition_2')} FROM materials")
 def clamp_composition(spark, d):
     return rounded(composition.with_clamped_binary(raw(spark, d), 0.1, 0.9).select("material_id", "composition_1", "composition_2"))
@@ -317,16 +327,21 @@ def interaction_features(spark, d):
     return out.select("material_id", *[F.round(c, 9).alias(c) for c in first], *[F.round(c, 7).alias(c) for c in second])
 
 
-def _three_places(c: str) -> str:
-    return f"CAST(round(CAST({c} AS DECIMAL(18, 9)), 3) AS DOUBLE) AS {c}"
+def _even(c: str, places: int) -> str:
+    """Halves to even, on whole numbers of the ninth place."""
+    unit = 10 ** (9 - places)
+    return f"(n_{c} // {unit} + CASE WHEN n_{c} % {unit} * 2 > {unit} OR (n_{c} % {unit} * 2 = {unit} AND n_{c} // {unit} % 2 = 1) THEN 1 ELSE 0 END) / CAST({10 ** places} AS DOUBLE) AS {c}"
+
+
+SHOWN = ["thermodynamic_stability_score", "ensemble_probability", "energy_above_hull", "density"]
 
 
-@check("display_round", f"SELECT material_id, formula, {_three_places('thermodynamic_stability_score')}, thermodynamic_stability_category, {_three_places('ensemble_probability')}, {_three_places('energy_above_hull')}, {_three_places('density')} FROM ens")
+@check("display_round", f"SELECT material_id, formula, thermodynamic_stability_category, {', '.join(_even(c, 3) for c in SHOWN)}, {_even('half', 2)} FROM (SELECT *, "
+       + ", ".join(f"CAST(round({c} * 1e9) AS BIGINT) AS n_{c}" for c in SHOWN) + ", CAST(nsites AS BIGINT) * 5000000 AS n_half FROM ens)")
 def display_round(spark, d):
-    """Display tables: three places, after float noise beyond nine places is gone."""
-    shown = ["thermodynamic_stability_score", "ensemble_probability", "energy_above_hull", "density"]
-    out = scored(spark, d).select("material_id", "formula", "thermodynamic_stability_category", *shown)
-    return rounded(rounded(out, 9), 3)
+    """Display tables; a column of halves as well."""
+    out = scored(spark, d).withColumn("half", F.col("nsites") / 200).select("material_id", "formula", "thermodynamic_stability_category", *SHOWN, "half")
+    return out.withColumns({**{c: basics.display_round(F.col(c)) for c in SHOWN}, "half": basics.display_round(F.col("half"), 2)})
 
 
 @check("slots_from_list", "SELECT material_id, elements[1] AS element_1, elements[2] AS element_2 FROM full_materials")

@@ -73,8 +73,8 @@ def material_method(spark, d):
     return joins.material_methods(raw(spark, d)).select("material_id", "method_key")
 
 
-@check("feature_table_join", f"SELECT f.material_id, t.formula, {r('f.electronegativity', 'electronegativity', 8)} FROM dataset_features f JOIN dataset_rows t ON f.material_id = t.material_id")
+@check("feature_table_join", f"SELECT f.material_id, t.formula, {r('f.electronegativity', 'electronegativity', 8)} FROM pair_features f JOIN pair_train_all t ON f.material_id = t.material_id")
 def feature_table_join(spark, d):
-    table, rows = features.training_dataset(full(spark, d).withColumnRenamed("formula", "formula_pretty"), 500)
+    table, rows = features.training_dataset(full(spark, d).withColumnRenamed("formula", "formula_pretty"))
     out = joins.join_features(table, rows, ["formula"])
     return rounded(out.select("material_id", "formula", "electronegativity"), 8)

@@ -96,14 +96,14 @@ def training_table(spark, d):
 
 
 @check("alloy_table", f"""SELECT f.material_id, t.formula, 'binary' AS alloy_type, t.elements[1] AS element_1, t.elements[2] AS element_2, {r('least(greatest(f.composition_1, 0.05), 0.95)', 'composition_1', 8)},
-    {r('least(greatest(f.composition_2, 0.05), 0.95)', 'composition_2', 8)}, {r('f.electronegativity', 'electronegativity', 8)}, f.density FROM train_features f JOIN train_rows t ON f.material_id = t.material_id WHERE len(t.elements) = 2""")
+    {r('least(greatest(f.composition_2, 0.05), 0.95)', 'composition_2', 8)}, {r('f.electronegativity', 'electronegativity', 8)}, f.density FROM pair_features f JOIN pair_train_all t ON f.material_id = t.material_id WHERE len(t.elements) = 2""")
 def alloy_table(spark, d):
-    table, rows = features.training_dataset(_source(spark, d), 1000)
+    table, rows = features.training_dataset(_source(spark, d))
     out = features.alloy_table(table, rows)
     return rounded(out.select("material_id", "formula", "alloy_type", "element_1", "element_2", "composition_1", "composition_2", "electronegativity", "density"), 8)
 
 
-@check("feature_set")
+@check("feature_set", "SELECT material_id, formation_energy_per_atom, energy_above_hull, band_gap, nsites, density, electronegativity, atomic_radius, composition_1, composition_2, composition_3 FROM materials")
 def feature_set(spark, d):
     table = raw(spark, d)
     chosen = features.feature_set(table)
@@ -135,8 +135,7 @@ def fit_boosting(spark, d):
 
 @check("cross_validate")
 def cross_validate(spark, d):
-    table = _table(spark, d).fillna(0.0, subset=["band_gap"])
-    result = training.cross_validate(table, schema.CLASSIFIER_FIELDS, 5, numTrees=100)
+    result = training.cross_validate(_table(spark, d), schema.CLASSIFIER_FIELDS, 5, numTrees=100)
     spread = training.fold_spread(result["cv_mean"], result["cv_std"])
     return spark.createDataFrame([(result["cv_mean"], result["cv_std"], spread["coefficient_of_variation"], spread["stability"])],
                                  "cv_mean double, cv_std double, coefficient_of_variation double, stability string")

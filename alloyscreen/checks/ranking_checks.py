@@ -74,7 +74,7 @@ def novelty_distance(spark, d):
 
 @check("nearest_neighbours", "SELECT material_id, nn_distance FROM (" + NOVELTY_SQL.format(source="train") + ")")
 def nearest_neighbours(spark, d):
-    """The way for training tables beyond one broadcast: small blocks, candidates streamed past them."""
+    """A hundred rows are held by every task, the others lie in cells that a row visits where they may hold nearer ones."""
     from alloyscreen.session import materialize
 
     train = materialize(_train(spark, d))
@@ -98,7 +98,7 @@ def experimental_workflow(spark, d):
 
 @check("safety_first_sort", f"""SELECT material_id, safety_rating, {r('composite_priority_score', 'composite_priority_score')}, row_number() OVER (ORDER BY safety_rating DESC, round(composite_priority_score, 9) DESC, round(ensemble_confidence, 9) DESC, material_id) AS place FROM route""")
 def safety_first_sort(spark, d):
-    out = ordered.with_row_rank(screening.safety_first(full(spark, d)), ranking.safety_first_order(), "place")
+    out = ordered.with_row_rank(screening.safety_first(full(spark, d)), ranking.safety_first_values(), "place")
     return rounded(out.select("material_id", "safety_rating", "composite_priority_score", "place"))
 
 
@@ -108,23 +108,33 @@ def shortlist(spark, d):
     return rounded(ranking.shortlist(screening.safety_first(full(spark, d))).select("material_id", "safety_check_passed", "composite_priority_score"))
 
 
-POOL = """WITH best AS (SELECT formula, arg_max(expected_value - expected_cost, material_id) AS b FROM (SELECT * FROM route_costed ORDER BY round(final_priority_score, 9) DESC, material_id LIMIT 5) GROUP BY formula),
+POOL = """WITH best AS (SELECT formula, arg_max_null(expected_value - expected_cost, material_id) AS b FROM {source} GROUP BY formula),
     confident AS (SELECT t.*, best.b FROM route t LEFT JOIN best ON t.formula = best.formula WHERE ensemble_confidence >= {c}),
     more AS (SELECT *, CAST(NULL AS DOUBLE) AS b FROM route WHERE formula NOT IN (SELECT formula FROM confident) ORDER BY round(final_priority_score, 9) DESC, material_id LIMIT (SELECT greatest(10 - count(*), 0) FROM confident))"""
 
 
-@check("candidate_pool", f"""SELECT * FROM ({POOL.format(c=0.6)} SELECT material_id, formula, {r('final_priority_score', 'final_priority_score')}, {r('b', 'estimated_net_benefit', 5)} FROM (SELECT * FROM confident WHERE (SELECT count(*) FROM confident WHERE b > 0) < 10 OR b > 0 UNION ALL SELECT * FROM more))""")
+@check("candidate_pool", f"""SELECT * FROM ({POOL.format(c=0.6, source="route_costed")} SELECT material_id, formula, {r('final_priority_score', 'final_priority_score')}, {r('b', 'estimated_net_benefit', 5)} FROM (SELECT * FROM confident WHERE (SELECT count(*) FROM confident WHERE b > 0) < 10 OR b > 0 UNION ALL SELECT * FROM more))""")
 def candidate_pool(spark, d):
     out = screening.safety_first_pool(full(spark, d))
     return out.select("material_id", "formula", F.round("final_priority_score", 9).alias("final_priority_score"), F.round("estimated_net_benefit", 5).alias("estimated_net_benefit"))
 
 
-@check("candidate_pool_topped_up", f"""SELECT * FROM ({POOL.format(c=0.99999)} SELECT material_id, formula, {r('final_priority_score', 'final_priority_score')} FROM (SELECT * FROM confident WHERE (SELECT count(*) FROM confident WHERE b > 0) < 10 OR b > 0 UNION ALL SELECT * FROM more))""")
+@check("candidate_pool_topped_up", f"""SELECT * FROM ({POOL.format(c=0.99999, source="route_costed")} SELECT material_id, formula, {r('final_priority_score', 'final_priority_score')} FROM (SELECT * FROM confident WHERE (SELECT count(*) FROM confident WHERE b > 0) < 10 OR b > 0 UNION ALL SELECT * FROM more))""")
 def candidate_pool_topped_up(spark, d):
     out = screening.safety_first_pool(full(spark, d), confidence=0.99999)
     return rounded(out.select("material_id", "formula", "final_priority_score"))
 
 
+BEST_FIVE = "(SELECT * FROM route_costed ORDER BY round(final_priority_score, 9) DESC, material_id LIMIT 5)"
+
+
+@check("candidate_pool_of_five", f"""SELECT * FROM ({POOL.format(c=0.6, source=BEST_FIVE)} SELECT material_id, formula, {r('final_priority_score', 'final_priority_score')}, {r('b', 'estimated_net_benefit', 5)} FROM (SELECT * FROM confident WHERE (SELECT count(*) FROM confident WHERE b > 0) < 10 OR b > 0 UNION ALL SELECT * FROM more))""")
+def candidate_pool_of_five(spark, d):
+    """The pool when only the five best candidates have a net benefit."""
+    out = screening.safety_first_pool(full(spark, d), 5)
+    return out.select("material_id", "formula", F.round("final_priority_score", 9).alias("final_priority_score"), F.round("estimated_net_benefit", 5).alias("estimated_net_benefit"))
+
+
 @check("topn", f"SELECT material_id, {r('ensemble_probability', 'ensemble_probability')} FROM ens WHERE ensemble_confidence > 0.8 ORDER BY round(ensemble_probability, 9) DESC, material_id LIMIT 10")
 def topn(spark, d):
     return rounded(ranking.most_probable(scored(spark, d)).select("material_id", "ensemble_probability"))

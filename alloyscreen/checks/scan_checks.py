@@ -7,7 +7,7 @@ from alloyscreen.functions import composition, methods
 from alloyscreen.operators import features
 from alloyscreen.plans import export, screening
 from alloyscreen.session import run_folder
-from alloyscreen.sources import scans, sinks
+from alloyscreen.sources import pair_store, scans, sinks
 
 CSV_COLUMNS = [
     "material_id", "formula", "element_1", "element_2", "element_3", "composition_1", "composition_2", "composition_3",
@@ -35,10 +35,9 @@ def outcomes_scan(spark, d):
 
 
 @check("filtered_scan", """SELECT material_id, formula, array_to_string(elements, ',') AS elements, nsites, density, band_gap, energy_above_hull, formation_energy_per_atom
-    FROM full_materials WHERE list_contains(elements, 'Al') AND list_contains(elements, 'Fe') AND band_gap >= 0.1 AND band_gap <= 6 AND energy_above_hull <= 0.2 AND nsites <= 20
-    ORDER BY material_id LIMIT 100""")
+    FROM full_materials WHERE list_contains(elements, 'Al') AND list_contains(elements, 'Fe') AND band_gap >= 0.1 AND band_gap <= 6 AND energy_above_hull <= 0.2 AND nsites <= 20""")
 def filtered_scan(spark, d):
-    out = scans.summary_scan(_summary_source(spark, d), ["Al", "Fe"], 0.1, 6.0, 0.2, 20, 100)
+    out = scans.summary_scan(_summary_source(spark, d), ["Al", "Fe"], 0.1, 6.0, 0.2, 20)
     return out.withColumn("elements", F.array_join("elements", ","))
 
 
@@ -52,16 +51,35 @@ def _pairs(df):
     )
 
 
-@check("pair_scan", PAIR_SQL + "pair_50")
+@check("pair_scan", PAIR_SQL + "pair_all")
 def pair_scan(spark, d):
     return _pairs(scans.pair_scan(_summary_source(spark, d)))
 
 
-@check("pair_scan_training", PAIR_SQL + "pair_train_50")
+@check("pair_scan_training", PAIR_SQL + "pair_train_all")
 def pair_scan_training(spark, d):
     return _pairs(scans.training_scan(_summary_source(spark, d)))
 
 
+@check("pair_scan_limited", PAIR_SQL + "pair_train_50")
+def pair_scan_limited(spark, d):
+    """The first fifty materials of each pair."""
+    return _pairs(scans.training_scan(_summary_source(spark, d), limit_per_pair=50))
+
+
+STORED_PAIRS = [("Fe", "Ni"), ("Al", "Fe"), ("Al", "Ni")]
+STORED_INDEX = " ".join(f"WHEN pair_1 = '{a}' AND pair_2 = '{b}' THEN {i}" for i, (a, b) in enumerate(STORED_PAIRS))
+
+
+@check("pair_store_scan", PAIR_SQL + f"""(SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY own) AS k FROM (SELECT *, CASE {STORED_INDEX} END AS own
+    FROM full_materials JOIN pairs ON list_contains(elements, pair_1) AND list_contains(elements, pair_2) WHERE energy_above_hull <= 0.3 AND nsites <= 12) WHERE own IS NOT NULL) WHERE k = 1""")
+def pair_store_scan(spark, d):
+    """Three pairs out of a store of all of them, in an order of their own."""
+    path = run_folder(spark, "pair_store")
+    pair_store.write_pairs(_summary_source(spark, d), path)
+    return _pairs(pair_store.stored_pair_scan(spark, path, STORED_PAIRS, 0.3, 12))
+
+
 @check("lookup_by_id", """SELECT i.material_id, m.formula, m.density, m.energy_above_hull FROM
     (SELECT material_id FROM full_materials UNION ALL SELECT concat('absent-', material_id) FROM full_materials WHERE band_gap IS NULL) i
     LEFT JOIN full_materials m ON i.material_id = m.material_id""")
@@ -177,8 +195,11 @@ def intake_package(spark, d):
 def outcome_append(spark, d):
     path = run_folder(spark, "outcome_append")
     log = outcomes(spark, d)
-    sinks.append_outcomes(log.filter("outcome = 'Successful'"), path)
-    sinks.append_outcomes(log.filter("outcome <> 'Successful'"), path)
+    # one batch under a name, one without, both sent twice; then all of it, of which the log lacks nothing
+    for _ in range(2):
+        sinks.append_outcomes(log.filter("outcome = 'Successful'"), path, "successful")
+        sinks.append_outcomes(log.filter("outcome <> 'Successful'"), path)
+    sinks.append_outcomes(log, path, "all")
     return scans.read_outcomes(spark, path).withColumn("attempted_date", F.col("attempted_date").cast("timestamp_ntz"))
 
 

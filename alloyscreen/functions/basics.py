@@ -46,6 +46,11 @@ def fixed_text(c: Column, digits: int) -> Column:
     return F.round(c.try_cast("decimal(28,9)"), digits).cast(f"decimal(28,{digits})").cast("string")
 
 
+def display_round(c: Column, digits: int = 3) -> Column:
+    """``c`` for display: float noise beyond nine places is removed, then halves go to the even neighbour."""
+    return F.bround(c.try_cast("decimal(28,9)"), digits).cast("double")
+
+
 def joined(separator: str, *parts: Column) -> Column:
     """The non-null parts in one text."""
     return F.concat_ws(separator, *parts)
