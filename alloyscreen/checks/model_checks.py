@@ -135,7 +135,7 @@ def fit_boosting(spark, d):
 
 @check("cross_validate")
 def cross_validate(spark, d):
-    result = training.cross_validate(_table(spark, d), schema.CLASSIFIER_FIELDS, 5, numTrees=100)
+    result = training.cross_validate(_table(spark, d), schema.CLASSIFIER_FIELDS, 5)
     spread = training.fold_spread(result["cv_mean"], result["cv_std"])
     return spark.createDataFrame([(result["cv_mean"], result["cv_std"], spread["coefficient_of_variation"], spread["stability"])],
                                  "cv_mean double, cv_std double, coefficient_of_variation double, stability string")
@@ -164,7 +164,7 @@ def score_batch(spark, d):
 
 @check("mode_comparison")
 def mode_comparison(spark, d):
-    return training.compare_modes(_table(spark, d), numTrees=100)
+    return training.compare_modes(_table(spark, d))
 
 
 @check("pca")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,7 @@ from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,17 +276,25 @@ def pca_reconstruction(df: DataFrame, columns: list[str], k: int = 5) -> DataFra
     return data.agg((F.avg(error) / len(columns)).alias("reconstruction_mse")).withColumn("explained_variance", F.lit(explained))
 
 
-def with_best_clusters(df: DataFrame, columns: list[str], ks=range(2, 8), seed: int = 42) -> DataFrame:
-    """Cluster of each row for the number of clusters with the best silhouette, on the two main components."""
-    projected = materialize(with_pca(df, columns))
-    data = VectorAssembler(inputCols=["pca_1", "pca_2"], outputCol="features").transform(projected).cache()
+def with_best_clusters(df: DataFrame, columns: list[str], ks=range(2, 8), seed: int = 42, starts: int = 10) -> DataFrame:
+    """Cluster of each row for the number of clusters with the best silhouette, on the two main components. For each number the best
+    of ``starts`` fits by its cost is judged."""
+    projected = materialize(with_pca(df, columns).select(*df.columns, "pca_1", "pca_2"))
+    data = VectorAssembler(inputCols=["pca_1", "pca_2"], outputCol="features").transform(projected)
+    points = data.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     judge = ClusteringEvaluator()
     best = None
-    for k in ks:
-        model = KMeans(k=k, seed=seed).fit(data)
-        quality = judge.evaluate(model.transform(data))
-        if best is None or quality > best[0]:
-            best = (quality, k, model)
+    try:
+        for k in ks:
+            # the fits of one number wait for many small jobs each; four at a time fill the gaps
+            with ThreadPoolExecutor(4) as pool:
+                fits = list(pool.map(lambda i, k=k: KMeans(k=k, seed=seed + i).fit(points), range(starts)))
+            model = min(fits, key=lambda m: m.summary.trainingCost)
+            quality = judge.evaluate(model.transform(points))
+            if best is None or quality > best[0]:
+                best = (quality, k, model)
+    finally:
+        points.unpersist()
     quality, k, model = best
     out = model.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
     return out.withColumns({"cluster_count": F.lit(k), "silhouette": F.lit(quality)})
