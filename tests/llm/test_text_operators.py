@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -61,6 +62,20 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_counts.token_counts(empty, path, tokenizers.PATTERN).count() == 0
 
 
+def test_encoder_that_forgets(monkeypatch):
+    from alloyscreen.llm import chunk_tokens
+
+    monkeypatch.setattr(chunk_tokens, "REMEMBERED", 20)
+    path = tokenizers.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), chunk_tokens.ChunkEncoder(path)
+    texts = [" ".join(f"Word{(i * j) % 90}, the end{j}." for j in range(12)) for i in range(60)] + ["", None]
+    for i in range(0, len(texts), 5):
+        ids, lengths = coder.ids(pa.array(texts[i : i + 5], pa.string()))
+        assert ids.tolist() == [x for t in texts[i : i + 5] for x in library.encode(t or "", add_special_tokens=False).ids] and lengths.sum() == len(ids)
+        assert len(coder.known) <= 20 + 5 * 24 and len(coder.known.old) <= 20 + 5 * 24
+    assert coder.known["nowhere"] is None
+
+
 def test_token_files_and_packing(spark, docs, empty):
     path = tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -73,6 +88,7 @@ def test_token_files_and_packing(spark, docs, empty):
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert collections.Counter(r["ids_crc32"] for r in rows) == collections.Counter(crc([*ids[t], 2]) for _, t in ids_of(docs))
     assert token_files.document(spark, folder, 4) == [*ids[BASE], 2]
+    assert token_files.document(spark, folder, 0) == [2] and token_files.document(spark, folder, 3) == [] and token_files.document(spark, folder, 999) == []
     placed = packing.packed(docs, path, capacity=64).collect()
     assert collections.Counter(r["ids_crc32"] for r in placed) == collections.Counter(crc([*ids[t], 0][i : i + 64]) for _, t in ids_of(docs) for i in range(0, len(ids[t]) + 1, 64))
     bins = collections.defaultdict(list)
@@ -154,7 +170,7 @@ def test_near_duplicates(spark, docs, empty):
         sets.append((doc, frozenset(tuple(found[i : i + 5]) for i in range(len(found) - 4)) if len(found) >= 5 else frozenset([tuple(found)] if found else [])))
     links = [(a, b) for a, x in sets for b, y in sets if a is not None and b is not None and a < b and x and 100 * len(x & y) >= 85 * len(x | y)]
     root = brute_components(links, {d for d, _ in sets if d is not None})
-    got = near_duplicates.near_duplicates(rows, pivots=2).collect()
+    got = near_duplicates.near_duplicates(rows).collect()
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None} == {(d, c, d == c) for d, c in root.items()}
     assert sorted(r["n_shingles"] for r in got) == sorted(len(x) for _, x in sets)
     assert near_duplicates.near_duplicates(empty).count() == 0
