@@ -18,11 +18,31 @@ import pyarrow.compute as pc
 
 from alloyscreen.llm.arrays import gather
 
-#: Pieces that a worker remembers; beyond it, it starts anew. Only time depends on it.
-REMEMBERED = 600_000
+#: Entries that a worker remembers for sure, of runs and of pieces each; up to twice as many in all. Only time depends on it.
+REMEMBERED = 400_000
 _LATIN_END = "ɐ"
 
 
+class Recent(dict):
+    """A dictionary of two generations. When the young one is full it becomes the old one, which is forgotten; what is asked for meanwhile
+    moves to the young one, so that frequent entries stay."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,8 +54,7 @@ class ChunkEncoder:
         if "\\\\s" not in splits or '"Removed"' not in splits or told["post_processor"] or told["truncation"] or told["padding"]:
             raise ValueError("a tokenizer that drops white space and treats what lies between it alone is needed")
         self.lowers = '"Lowercase"' in json.dumps(told["normalizer"])
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
 
     def _parts(self, run: str) -> tuple[str, ...]:
         """Pieces with the ids of ``run``: a Latin letter ends its pre-token before ASCII punctuation, and lower case
@@ -48,14 +67,13 @@ class ChunkEncoder:
         return (core, run[len(core) :]) if core and len(core) < len(run) and core[-1].isalpha() else (run,)
 
     def _encode(self, runs: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        blobs = list(map(self.known.get, runs))
+        self.known.turn()
+        self.parts.turn()
+        self.known[""] = b""
+        blobs = list(map(self.known.__getitem__, runs))
         missing = [i for i, b in enumerate(blobs) if b is None]
         split = [self._parts(runs[i]) for i in missing]
-        new = list({p for ps in split for p in ps if p not in self.parts})
+        new = list({p for ps in split for p in ps if self.parts[p] is None})
         for i in range(0, len(new), 4096):
             own = new[i : i + 4096]
             for p, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):

@@ -1,7 +1,7 @@
 """Token files: segments of concatenated ids whose document boundaries are Elias-Fano coded.
 
 A file set is a folder of Parquet files written and read by Spark, so that it can lie in any store. Each row is a segment:
-``part`` and ``segment`` (their order is that of the documents), ``doc_ids`` (64-bit little-endian) and ``doc_known`` (a bit
+``part`` and ``segment`` (their order is that of the documents), ``first_id`` and ``last_id`` (the least and greatest known id), ``doc_ids`` (64-bit little-endian) and ``doc_known`` (a bit
 each, for null ids), ``n_docs``, ``n_ids``, ``before`` (ids of the part's earlier segments), ``ids`` (16 bits an id where all are below 65,536, else 32) and the boundaries: ``low_bits``, ``low``
 (that many bits of each document's end), ``high`` (the rest in unary: bit ``(end >> low_bits) + k`` is set for document k) and
 ``samples`` (32-bit place of every 64th set bit of ``high``). An end costs about 2 + log2(ids per document) bits."""
@@ -22,7 +22,7 @@ _SAMPLE = 64
 #: Ids and documents after which a segment ends; a longer document has one to itself.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
 SCHEMA = (
-    "part int, segment int, doc_ids binary, doc_known binary, n_docs int, n_ids long, before long, ids binary, low_bits int, low binary, high binary, samples binary"
+    "part int, segment int, first_id long, last_id long, doc_ids binary, doc_known binary, n_docs int, n_ids long, before long, ids binary, low_bits int, low binary, high binary, samples binary"
 )
 
 
@@ -68,9 +68,10 @@ class EliasFano:
 
 def segment(part: int, number: int, before: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> tuple:
     known = np.array([d is not None for d in doc_ids], np.uint8)
+    named = [d for d in doc_ids if d is not None]
     narrow = not len(ids) or int(ids.max()) < 1 << 16
     return (
-        part, number, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known, bitorder="little").tobytes(), len(doc_ids), len(ids), before,
+        part, number, min(named, default=None), max(named, default=None), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known, bitorder="little").tobytes(), len(doc_ids), len(ids), before,
         bytes([2 if narrow else 4]) + ids.astype("<u2" if narrow else "<u4").tobytes(), *EliasFano.parts(ends),
     )
 
@@ -145,12 +146,21 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
-    """The ids of one document, by the select structure of its segment."""
-    for row in spark.read.schema(SCHEMA).parquet(folder).toLocalIterator():
-        found = np.flatnonzero(np.frombuffer(row["doc_ids"], "<i8") == doc_id)
-        if len(found):
-            k = int(found[0])
-            bounds = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-            width = row["ids"][0]
-            return np.frombuffer(row["ids"], f"<u{width}", offset=1)[bounds.select(k - 1) if k else 0 : bounds.select(k)].tolist()
-    return []
+    """The ids of one document (of repeated ids the first), by the select structure of its segment; none if it is not there.
+
+    Only segments whose range of ids holds it are read, where they lie; its ids alone come back."""
+
+    def pick(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                known = np.unpackbits(np.frombuffer(row["doc_known"], np.uint8), bitorder="little")[: row["n_docs"]] == 1
+                found = np.flatnonzero((np.frombuffer(row["doc_ids"], "<i8") == doc_id) & known)
+                if len(found):
+                    k = int(found[0])
+                    bounds = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+                    ids = np.frombuffer(row["ids"], f"<u{row['ids'][0]}", offset=1)[bounds.select(k - 1) if k else 0 : bounds.select(k)]
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "segment": pa.array([row["segment"]], pa.int32()), "found": pa.array([ids.tolist()], pa.list_(pa.int64()))})
+
+    held = spark.read.schema(SCHEMA).parquet(folder).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    first = held.mapInArrow(pick, "part int, segment int, found array<bigint>").orderBy("part", "segment").first()
+    return first["found"] if first else []
