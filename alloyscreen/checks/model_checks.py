@@ -5,7 +5,7 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from alloyscreen import schema
-from alloyscreen.checks.core import check, full, outcomes, r, raw, rounded
+from alloyscreen.checks.core import ORACLES, check, full, outcomes, r, raw, rounded
 from alloyscreen.operators import aggregates, features
 from alloyscreen.plans import candidates, training
 from alloyscreen.session import materialize, run_folder
@@ -167,14 +167,52 @@ def mode_comparison(spark, d):
     return training.compare_modes(_table(spark, d))
 
 
+def _components_sql(k: int) -> str:
+    """Covariances of the standard-scaled columns (c_0), and for each component its direction v, its variance l and what is left of the
+    covariances. A matrix squared forty times over is, but for its scale, the product of its main direction with itself."""
+    columns = schema.CLASSIFIER_FIELDS
+    n = range(1, len(columns) + 1)
+    scaled = ", ".join(f"coalesce(CAST((({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS DOUBLE), 0)" for c in columns)
+    steps = [f"z AS MATERIALIZED (SELECT material_id, [{scaled}] AS x FROM materials)",
+             "c_0 AS MATERIALIZED (SELECT [" + ", ".join("[" + ", ".join(f"avg(x[{a}] * x[{b}])" for b in n) + "]" for a in n) + "] AS c FROM z)"]
+    trace = lambda m: " + ".join(f"{m}[{a}][{a}]" for a in n)
+    for i in range(k):
+        squared = "list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q)))"
+        steps += [
+            f"s_{i} AS (SELECT 0 AS i, c AS m FROM c_{i} UNION ALL SELECT i + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / ({trace('m')}))) FROM (SELECT i, {squared} AS m FROM s_{i} WHERE i < 40))",
+            f"d_{i} AS (SELECT m, list_position(d, list_max(d)) AS p FROM (SELECT m, [{', '.join(f'm[{a}][{a}]' for a in n)}] AS d FROM s_{i} WHERE i = 40))",
+            f"v_{i} AS MATERIALIZED (SELECT list_transform(m[p], lambda x: x / sqrt(m[p][p])) AS w FROM d_{i})",
+            f"u_{i} AS MATERIALIZED (SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM v_{i})",
+            f"l_{i} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM u_{i}, c_{i})",
+            f"c_{i + 1} AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f'c[{a}][{b}] - l * v[{a}] * v[{b}]' for b in n) + ']' for a in n)}] AS c FROM c_{i}, l_{i})",
+        ]
+    return ", ".join(steps)
+
+
+def _with_components(sql: str, k: int) -> str:
+    """A whole text of its own: the steps refer to each other."""
+    from alloyscreen.checks.core import CTES
+
+    return f"WITH RECURSIVE materials AS ({CTES['materials']}), {_components_sql(k)} {sql}"
+
+
 @check("pca")
 def pca(spark, d):
-    return training.with_pca(raw(spark, d), schema.CLASSIFIER_FIELDS).select("material_id", "pca_1", "pca_2")
+    return rounded(training.with_pca(raw(spark, d), schema.CLASSIFIER_FIELDS).select("material_id", "pca_1", "pca_2"), 6)
+
+
+ORACLES["pca"] = _with_components(f"SELECT material_id, {r('list_dot_product(x, l_0.v)', 'pca_1', 6)}, {r('list_dot_product(x, l_1.v)', 'pca_2', 6)} FROM z, l_0, l_1", 2)
 
 
 @check("pca_reconstruction")
 def pca_reconstruction(spark, d):
-    return training.pca_reconstruction(raw(spark, d), schema.CLASSIFIER_FIELDS, 5)
+    return rounded(training.pca_reconstruction(raw(spark, d), schema.CLASSIFIER_FIELDS, 5), 7)
+
+
+_KEPT = " + ".join(f"l_{i}.l" for i in range(5))
+_WHOLE = " + ".join(f"c[{a}][{a}]" for a in range(1, len(schema.CLASSIFIER_FIELDS) + 1))
+ORACLES["pca_reconstruction"] = _with_components(
+    f"SELECT {r(f'({_WHOLE} - ({_KEPT})) / {len(schema.CLASSIFIER_FIELDS)}', 'reconstruction_mse', 7)}, {r(f'({_KEPT}) / ({_WHOLE})', 'explained_variance', 7)} FROM c_0, " + ", ".join(f"l_{i}" for i in range(5)), 5)
 
 
 @check("kmeans_select")

@@ -20,9 +20,14 @@ def unreadable(c: Column) -> Column:
     return c.isNotNull() & c.try_cast("double").isNull()
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    """``c`` limited to [low, high]; null stays null."""
-    return F.when(c < low, F.lit(float(low))).when(c > high, F.lit(float(high))).otherwise(c)
+def clip(c: Column, low: float | None, high: float | None) -> Column:
+    """``c`` limited to [low, high]; a bound may be none. Null stays null."""
+    bounds = [(c < low, low)] if low is not None else []
+    bounds += [(c > high, high)] if high is not None else []
+    out = F
+    for beyond, bound in bounds:
+        out = out.when(beyond, F.lit(float(bound)))
+    return out.otherwise(c) if bounds else c
 
 
 def flag(condition: Column) -> Column:

@@ -255,11 +255,14 @@ def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    """Standard-scaled columns projected onto ``k`` components, as ``pca_1`` ... ``pca_k``."""
+    """Standard-scaled columns projected onto ``k`` components, as ``pca_1`` ... ``pca_k``. A component points where its greatest
+    loading is positive, so that it does not depend on the solver."""
     data = _assembled(df, columns)
-    out = PCA(k=k, inputCol="features", outputCol="_pca").fit(data).transform(data)
+    model = PCA(k=k, inputCol="features", outputCol="_pca").fit(data)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
     values = vector_to_array("_pca")
-    return out.withColumns({f"pca_{i + 1}": values[i] for i in range(k)}).drop("features", "_pca")
+    return model.transform(data).withColumns({f"pca_{i + 1}": values[i] * signs[i] for i in range(k)}).drop("features", "_pca")
 
 
 def pca_reconstruction(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
