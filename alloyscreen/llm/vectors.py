@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alloyscreen.llm.components import components
@@ -46,6 +46,14 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def in_range(v: Column) -> Column:
+    """The vector times a power of two, where its components are so small or large that their squares leave the range of doubles. Its directions,
+    and the cosines of all others, stay the same to the last bit."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    factor = F.when(most < 1e-100, float(2**600)).when(most > 1e100, float(2**-600))
+    return F.when(factor.isNull(), v).otherwise(F.transform(v, lambda x: x * factor))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest id reachable) and kept (vec_id = component_id).
 
@@ -62,7 +70,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     own = own.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "v")))
-    classes = written(own.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label")), "vectors")
+    classes = written(own.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label")).withColumn("v", in_range(F.col("v"))), "vectors")
 
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
