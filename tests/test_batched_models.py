@@ -1,10 +1,14 @@
 """Model fits that share their passes over the data, against Spark's own."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 
+from alloyscreen.operators import features
 from alloyscreen.plans import training
 
 
@@ -27,3 +31,25 @@ def test_an_empty_cluster_keeps_its_centre(spark):
     points = spark.createDataFrame([(0.0,), (1.0,)], "a double")
     (centres, cost), = training._lloyd(points, ["a"], [np.array([[0.5], [9.0]])])
     assert centres.tolist() == [[0.5], [9.0]] and cost == pytest.approx(0.5)
+
+
+def test_property_forests_share_the_time(spark, monkeypatch):
+    """Each forest waits for another one to begin; they come to what a forest alone comes to."""
+    meet = threading.Barrier(2, timeout=60)
+
+    class Forest(RandomForestRegressor):
+        def fit(self, data):
+            meet.wait()
+            return super().fit(data)
+
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(300, 3))
+    rows[:, 2] += rows[:, 0]
+    df = spark.createDataFrame(rows.tolist(), "a double, b double, c double").coalesce(1)
+    monkeypatch.setattr(training, "RandomForestRegressor", Forest)
+    found = {r["target"]: r["mse"] for r in training.property_regressors(df, ["a", "b", "c"], ["a", "c"], trees=4).collect()}
+    data = features.scale(df, ["a", "b", "c"], features.fit_scaler(df, ["a", "b", "c"]))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data)
+    alone = RandomForestRegressor(featuresCol="features", labelCol="c", numTrees=4, maxDepth=10, seed=42).fit(data).transform(data)
+    assert found["c"] == pytest.approx(alone.selectExpr("avg((prediction - c) * (prediction - c))").first()[0])
+    assert found["all columns"] == pytest.approx((found["a"] + found["c"]) / 3)
