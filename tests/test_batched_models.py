@@ -8,6 +8,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 
+from alloyscreen.checks import core, model_checks
 from alloyscreen.operators import features
 from alloyscreen.plans import training
 
@@ -53,3 +54,16 @@ def test_property_forests_share_the_time(spark, monkeypatch):
     alone = RandomForestRegressor(featuresCol="features", labelCol="c", numTrees=4, maxDepth=10, seed=42).fit(data).transform(data)
     assert found["c"] == pytest.approx(alone.selectExpr("avg((prediction - c) * (prediction - c))").first()[0])
     assert found["all columns"] == pytest.approx((found["a"] + found["c"]) / 3)
+
+
+def test_calibrate_passes_the_forest_once(spark, sf_dir, monkeypatch):
+    table = model_checks._table(spark, sf_dir)
+    fitted = training.fit(table, features.feature_set(table, False), numTrees=5, maxDepth=4)
+    passes, own = [], training._raw_probability
+    monkeypatch.setattr(model_checks, "_fitted", lambda spark, d: fitted)
+    monkeypatch.setattr(training, "_raw_probability", lambda model, df: passes.append(df) or own(model, df))
+    out = model_checks.calibrate(spark, sf_dir).cache()
+    assert len(passes) == 2  # the labelled rows for the second calibration, the materials
+    alone = training.score_batch(core.full(spark, sf_dir), fitted, with_distance=False).select("material_id", "synthesizability_probability")
+    both = out.join(alone, "material_id")
+    assert both.count() == out.count() == 6000 and both.where("isotonic <> synthesizability_probability").count() == 0
