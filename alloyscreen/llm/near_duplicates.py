@@ -6,8 +6,9 @@ in turn, which enumerates the allowed errors, and all pairs within that distance
 but for (1 - s^8 - 8 s^7 (1 - s))^chunks: at 0.85 and 12 chunks 3 in a million, at 0.9 1 in 10^9.
 
 The documents of a key are a bucket. Its least document is measured against the others, which joins nearly all that belong together. Only
-what lies in different components of a bucket afterwards is compared pair by pair, on sketches of 256 bytes, in tiles of bounded
-size; pairs whose sketches allow a link are measured. Every link is confirmed on whole shingle sets."""
+what lies in different components of a bucket afterwards is compared pair by pair, in tiles of bounded size: on sketches of 256 bytes first;
+pairs whose sketches allow a link are measured within the tile, so that only links leave it, fewer than a tile has ids. Every link is
+confirmed on whole shingle sets."""
 
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ _SALTS = _rng.integers(0, 1 << 63, 64 * _CHUNK, dtype=np.uint64) * np.uint64(2)
 
 #: Components of a sketch (two bits each), and ids on a side of a tile. Only time depends on them, but for one link in some 50 million.
 SKETCH, TILE = 1024, 1024
+#: Shingles on a side of a tile, about: 16 MB.
+TILE_SHINGLES = 1 << 21
 #: Ids of documents with a possible partner that are sent to every task; with more of them, texts are shuffled to meet them.
 HELD_IDS = 1 << 21
 _SKETCH = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,9 +82,23 @@ def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
-def _alike(key: int, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray, sketches: np.ndarray, keys: list, percent: int) -> list[tuple[int, int]]:
-    """The pairs of a tile whose components differ and whose sizes and sketches allow a link, if this is the first bucket that they share."""
-    found, most = [], most_unlike(percent)
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _linked(key: int, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, keys: list, percent: int) -> list[tuple[int, int]]:
+    """The links of a tile between components, without those between components that its links have joined. A pair is measured if its
+    sizes and sketches allow a link and this is the first bucket that it shares."""
+    found, most, joined = [], most_unlike(percent), {}
+
+    def top(root: int) -> int:
+        while root in joined:
+            root = joined[root]
+        return root
+
+    n, buckets, whose = np.array([len(s) for s in sets]), [set(k) for k in keys], roots.tolist()
     rows = max(1, (1 << 20) // max(1, len(ids)))
     for i in range(0, len(ids), rows):
         a = np.arange(i, min(i + rows, len(ids)))
@@ -95,8 +112,12 @@ def _alike(key: int, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: n
             x, y = at_a[k : k + (1 << 16)], at_b[k : k + (1 << 16)]
             near = unlike(sketches[x], sketches[y]) <= most
             for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                if min(set(keys[p]) & set(keys[q])) == key:
-                    found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                one, two = top(whose[p]), top(whose[q])
+                if one != two and min(buckets[p] & buckets[q]) == key:
+                    shared = _shared(sets[p], sets[q])
+                    if 100 * shared >= percent * (len(sets[p]) + len(sets[q]) - shared):
+                        found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                        joined[max(one, two)] = min(one, two)
     return found
 
 
@@ -109,12 +130,13 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return written(shared.join(kept.select("key", "leader"), "key"), "buckets")
 
 
-def _open_pairs(buckets: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """The pairs (a, b) of different components that share a bucket and may be linked by their sizes and sketches; None if there is no such bucket.
+def _open_links(buckets: DataFrame, root: DataFrame, size: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) that join the different components which share a bucket; None if there is no such bucket.
 
-    A bucket is compared in tiles of at most ``TILE`` ids on a side; a tile holds sketches, not sets. A pair comes from one bucket only."""
-    placed = buckets.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    A bucket is compared in tiles of about ``TILE`` ids and ``TILE_SHINGLES`` shingles on a side. A pair is measured in one bucket only."""
+    placed = buckets.join(size.join(root, "id", "left"), "id").withColumn("root", F.coalesce("root", "id"))
+    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    several = placed.groupBy("key").agg(blocks.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "blocks")
     rest = written(placed.select("key", "id", "root").join(several, "key"), "open")
     if rest.isEmpty():
         return None
@@ -125,15 +147,13 @@ def _open_pairs(buckets: DataFrame, root: DataFrame, sets: DataFrame, percent: i
             held = batch.column("shingles")
             flat, ends = held.flatten().to_numpy().view(np.uint64), np.diff(np.asarray(held.offsets)).cumsum()
             own = np.split(flat, ends[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s).tobytes() for s in own], pa.binary())], ["id", "n", "sketch"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), held, pa.array([sketch(s).tobytes() for s in own], pa.binary())], ["id", "shingles", "sketch"])
 
-    drawn = sets.join(held.select(F.col("id").alias("node")), "node", "left_semi").mapInArrow(draw, "id long, n long, sketch binary")
+    drawn = sets.join(held.select(F.col("id").alias("node")), "node", "left_semi").mapInArrow(draw, "id long, shingles array<long>, sketch binary")
     rows = rest.join(drawn.join(held, "id"), "id")
     block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
     tiles = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "id", "root", "n", "sketch", "keys")
+    tiles = tiles.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "id", "root", "shingles", "sketch", "keys")
     dealt = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches):
@@ -143,11 +163,12 @@ def _open_pairs(buckets: DataFrame, root: DataFrame, sets: DataFrame, percent: i
             whole = pa.Table.from_batches(waiting)
             place = np.stack([whole[c].to_numpy() for c in ("key", "lo", "hi")])
             first = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)])
-            ids, roots, n, second = (whole[c].to_numpy() for c in ("id", "root", "n", "second"))
+            ids, roots, second = (whole[c].to_numpy() for c in ("id", "root", "second"))
+            sets = [s for part in whole["shingles"].chunks for s in np.split(part.flatten().to_numpy().view(np.uint64), np.diff(np.asarray(part.offsets)).cumsum()[:-1])]
             sketches = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
             keys, found = whole["keys"].to_pylist(), []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
-                found += _alike(int(place[0, i]), second[i:j].astype(bool), ids[i:j], roots[i:j], n[i:j], sketches[i:j], keys[i:j], percent)
+                found += _linked(int(place[0, i]), second[i:j].astype(bool), ids[i:j], roots[i:j], sets[i:j], sketches[i:j], keys[i:j], percent)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -229,10 +250,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, chunks:
     sized = star.join(size, "id").join(size.select(F.col("id").alias("leader"), F.col("n").alias("m")), "leader")
     first = linked(sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("leader").alias("a"), F.col("id").alias("b")))
     root = components(first)
-    pairs = _open_pairs(buckets, root, sets, percent)
-    if pairs is not None:
-        measured = star.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        root = components(first.unionByName(linked(written(pairs.join(measured, ["a", "b"], "left_anti").distinct(), "open-pairs"))))
+    more = _open_links(buckets, root, size, sets, percent)
+    if more is not None:
+        root = components(first.unionByName(written(more, "open-links")))
     named = classes.join(root.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = named.join(names, "root").select("n", "print", "print_2", "component_id")

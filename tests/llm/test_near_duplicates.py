@@ -61,6 +61,30 @@ def test_components_equal_all_pairs(spark, texts, monkeypatch, tile):
     assert got == brute(texts)
 
 
+def test_pairs_below_the_threshold_make_no_rows(spark, monkeypatch):
+    """Copies of one text with a few words changed share keys; most pairs lie just below the threshold."""
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{k}" for k in range(200)], {}
+    for i in range(120):
+        own = list(base)
+        for k in rng.choice(200, 3 + i % 2, replace=False):
+            own[k] = f"x{i}y{k}"
+        texts[i] = " ".join(own)
+    real, rows = near_duplicates.written, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "written", counted)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert got == brute(texts)
+    pairs = {name: n for name, n in rows.items() if "pairs" in name or "links" in name}
+    assert sum(pairs.values()) < 3 * len(texts), pairs
+
+
 def test_texts_may_be_shuffled(spark, texts, monkeypatch):
     monkeypatch.setattr(near_duplicates, "HELD_IDS", 0)
     rows = spark.createDataFrame(list(texts.items())[:60], "doc_id long, text string")
