@@ -115,6 +115,22 @@ def test_brackets_beside_flat_formulas(spark):
     assert got == {1: [1.0, 2.0, 2.0], 2: [2.0, 1.0], 3: None, 4: [1.0, 2.0, 2.0]}
 
 
+@pytest.mark.parametrize("formula, expected", [
+    ("Ba(FeAs)2", [1.0, 2.0, 2.0]), ("Al.5Ti5.Al", [1.5, 5.0]), ("{[(Al2)2]2Ti}0.5", [4.0, 0.5]), ("Fe7(NiO3)4[H(N2)3]1.5", [7.0, 4.0, 12.0, 1.5, 9.0]),
+    ("(" * 40 + "Al" + ")2" * 40, [2.0**40]), ("(Al]2", None), ("(Al", None), ("Al)2", None),
+])
+def test_formula_amounts(formula, expected):
+    assert composition.formula_amounts(formula) == expected
+
+
+def test_formulas_are_not_folded_in_expressions(spark, capsys):
+    df = spark.createDataFrame([(1, "Ba(FeAs)2"), (2, "Al2.5CuAl"), (3, "Xx2"), (4, ""), (5, None), (6, "(Al]2")], "id int, formula string")
+    out = composition.with_formula_amounts(df, "formula", "n")
+    assert {r.id: r.n for r in out.collect()} == {1: [1.0, 2.0, 2.0], 2: [3.5, 1.0], 3: None, 4: None, 5: None, 6: None}
+    out.explain("formatted")
+    assert "lambda" not in capsys.readouterr().out
+
+
 def test_top_fractions_without_anything(spark):
     df = row_of(spark, x=1)
     assert top(df) == [0.0, 0.0, 0.0]
