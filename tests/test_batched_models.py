@@ -34,6 +34,44 @@ def test_an_empty_cluster_keeps_its_centre(spark):
     assert centres.tolist() == [[0.5], [9.0]] and cost == pytest.approx(0.5)
 
 
+def test_blocks_hold_all_points_near_each_other(spark, monkeypatch):
+    """Every point is in one block; the blocks of a stretch cover little of it, so that most count as a whole."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(4000, 2)) * [1.0, 50.0]
+    monkeypatch.setattr(training, "STRETCH", 1500)
+    found = training._blocks(spark.createDataFrame(rows.tolist(), "a double, b double").coalesce(1), ["a", "b"]).collect()
+    points = np.concatenate([np.array([np.frombuffer(r["held0"]), np.frombuffer(r["held1"])]).T for r in found])
+    assert sorted(map(tuple, points)) == sorted(map(tuple, rows))
+    for r in found:
+        for m in (0, 1):
+            held = np.frombuffer(r[f"held{m}"])
+            assert len(held) == r["n"] <= 2 * training.BLOCK
+            assert r[f"low{m}"] == held.min() and r[f"high{m}"] == held.max() and r[f"sum{m}"] == pytest.approx(held.sum(), abs=1e-9)
+        assert r["apart"] == pytest.approx(sum(((h := np.frombuffer(r[f"held{m}"])) - h.mean()) ** 2 for m in (0, 1)).sum())
+    areas = [(r["high0"] - r["low0"]) * (r["high1"] - r["low1"]) for r in found]
+    assert np.median(areas) < 0.05 * np.prod(rows.max(axis=0) - rows.min(axis=0))
+
+
+@pytest.mark.parametrize("columns", [["a"], ["a", "b"]])
+def test_rounds_over_blocks_equal_rounds_over_points(spark, columns):
+    """Also with few points, equal points and points on the border of two clusters."""
+    rng = np.random.default_rng(6)
+    for rows in (rng.integers(-3, 4, (3000, 2)) * 1.0, rng.normal(size=(2500, 2)) * 1e6, rng.normal(size=(5, 2)), np.ones((70, 2))):
+        x = rows[:, : len(columns)]
+        first = [x[:k] + np.arange(k)[:, None] * 1e-3 for k in (1, 2, 4)] + [np.array([[-1.0], [1.0]]) * np.ones(len(columns))]
+        points = spark.createDataFrame(rows.tolist(), "a double, b double").repartition(2)
+        for start, (centres, cost) in zip(first, training._lloyd(points, columns, first, rounds=4), strict=True):
+            c = start.copy()
+            for _ in range(4):
+                apart = ((x[:, None, :] - c) ** 2).sum(axis=2)
+                near = apart.argmin(axis=1)
+                moved = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
+                done, c = (((moved - c) ** 2).sum(axis=1) <= 1e-8).all(), moved
+                if done:
+                    break
+            assert np.allclose(centres, c, rtol=1e-9, atol=1e-9) and cost == pytest.approx(apart.min(axis=1).sum(), rel=1e-9, abs=1e-9)
+
+
 def test_property_forests_share_the_time(spark, monkeypatch):
     """Each forest waits for another one to begin; they come to what a forest alone comes to."""
     meet = threading.Barrier(2, timeout=60)
